@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, tokencount, urlfilter
-from .common import materialize, table, word_count
+from . import ann, bpe, hpylm, htmltext, mixing, quality, simhash, tokencount, urlfilter, warc
+from .common import fresh_path, materialize, table, word_count
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = hpylm.split(table(spark, sf_dir, "documents"))
+    return hpylm.score(docs, hpylm.train(docs))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select(
@@ -43,5 +58,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_quality, op4_url_filter, op5_token_counts, op9_bpe)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_quality, op4_url_filter, op5_token_counts, op6_lm_scores, op7_warc, op8_html_text, op9_bpe, op10_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
