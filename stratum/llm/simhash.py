@@ -21,13 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, materialize, ship, split_words
+from .common import discard, map_texts, materialize, split_words
+from .common import materialize as stored
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 TILE = 4096
+ROWS_PER_PART = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -48,14 +51,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "_s_fp", shingle: int = SHINGLE) -> DataFrame:
-    ship(docs.sparkSession)
 
-    @F.pandas_udf("long")
-    def fp(texts):
-        return texts.map(lambda t: fingerprint(t, shingle)).astype("int64")
+    def make():
+        from stratum.llm.simhash import fingerprint
 
-    # Null texts go in as empty ones, so that the series holds strings only.
-    return docs.withColumn(out, fp(F.coalesce(F.col(text), F.lit(""))))
+        return lambda texts: [[fingerprint(t, shingle) for t in texts]]
+
+    return map_texts(docs, text, [(out, T.LongType(), pa.int64())], make)
 
 
 def _cell(fp: Column, blocks: int) -> Column:
@@ -101,44 +103,39 @@ def _blocks(n: int) -> int:
 
 
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links between (or, b None, within) sets of fingerprints, as pairs of values."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while parent.get(root, root) != root:
-            root = parent[root]
-        while parent.get(x, x) != root:
-            parent[x], x = root, parent[x]
-        return root
+    """Edges that join exactly the fingerprints linked between (or, b None, within) two tiles: fewer than there are rows.
 
+    Rows are sorted by population count, and blocks of rows meet only the rows whose counts are within the radius.
+    """
+    values = np.unique(a if b is None else np.concatenate([a, b]))
+    label = np.arange(len(values))
     left, right = [], []
-    count = lambda x: np.bitwise_count(x.view(np.uint64))
-    pa_ = count(a)
-    order = np.argsort(pa_, kind="stable")
-    a, pa_ = a[order], pa_[order]
-    if b is None:
-        b, pb = a, pa_
-    else:
-        pb = count(b)
-        order = np.argsort(pb, kind="stable")
-        b, pb = b[order], pb[order]
-    for at in range(0, len(a), 256):
-        x = a[at : at + 256]
-        lo = np.searchsorted(pb, int(pa_[at]) - radius, "left")
-        hi = np.searchsorted(pb, int(pa_[min(at + 255, len(a) - 1)]) + radius, "right")
-        if lo >= hi:
+
+    def by_count(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.bitwise_count(x.view(np.uint64)).astype(np.int64)
+        order = np.argsort(n, kind="stable")
+        return x[order], n[order]
+
+    x, nx = by_count(a)
+    y, ny = (x, nx) if b is None else by_count(b)
+    at_x, at_y = np.searchsorted(values, x), np.searchsorted(values, y)
+    for at in range(0, len(x), 256):
+        rows = x[at : at + 256]
+        low, high = np.searchsorted(ny, nx[at] - radius, "left"), np.searchsorted(ny, nx[min(at + 255, len(x) - 1)] + radius, "right")
+        if low >= high:
             continue
-        y = b[lo:hi]
-        near = np.bitwise_count(x.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :]) <= radius
-        i, j = np.nonzero(near)
-        for u, v in zip(x[i].tolist(), y[j].tolist()):
-            if u != v:
-                ru, rv = find(u), find(v)
-                if ru != rv:
-                    parent[max(ru, rv)] = min(ru, rv)
-                    left.append(u)
-                    right.append(v)
+        near = np.bitwise_count(rows.view(np.uint64)[:, None] ^ y[low:high].view(np.uint64)[None, :]) <= radius
+        for i in np.flatnonzero(near.sum(axis=1) > (b is None)):
+            own = label[at_x[at + i]]
+            others = np.unique(label[at_y[low:high][near[i]]])
+            others = others[others != own]
+            if len(others):
+                merged = np.append(others, own)
+                least = merged.min()
+                for o in merged[merged != least]:
+                    left.append(values[least])
+                    right.append(values[o])
+                label[np.isin(label, merged)] = least
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
@@ -182,7 +179,14 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Each round takes the least label among neighbours and then the label's label, so paths halve; every round is
     written to the shared folder. Ends when a round changes nothing.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # A round's tables are as large as the edges, often far below a shuffle's worth of partitions.
+    parts = max(1, -(-2 * edges.count() // ROWS_PER_PART))
+
+    def materialize(df: DataFrame, name: str) -> DataFrame:
+        return stored(df.coalesce(parts), name)
+
+    both = materialize(both, "cc-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
     for _ in range(max_rounds):
         offers = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("offer"))

@@ -69,17 +69,16 @@ def test_links_and_components_of_crowded_fingerprints(spark):
     for v, root in closure(values).items():
         expected.setdefault(root, set()).add(signed[v])
     expected = {frozenset(g) for g in expected.values() if len(g) > 1}
-    for blocks in (1, 2, 4, 8):
-        for tile in (16, 4096):
-            edges = simhash.materialize(simhash.links(fps, tile=tile, blocks=blocks), "t")
-            got = {}
-            for node, label in simhash.components(edges).collect():
-                got.setdefault(label, set()).add(node)
-            assert {frozenset(g) for g in got.values()} == expected, (blocks, tile)
+    for blocks, tile in ((1, 64), (2, 4096), (8, 16)):
+        edges = simhash.materialize(simhash.links(fps, tile=tile, blocks=blocks), "t")
+        got = {}
+        for node, label in simhash.components(edges).collect():
+            got.setdefault(label, set()).add(node)
+        assert {frozenset(g) for g in got.values()} == expected, (blocks, tile)
 
 
 def test_components_of_a_long_path(spark):
-    ids = list(range(300))
+    ids = list(range(60))
     random.Random(1).shuffle(ids)
     edges = simhash.materialize(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"), "path")
     assert {r["label"] for r in simhash.components(edges).collect()} == {0}
