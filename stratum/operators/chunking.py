@@ -17,7 +17,7 @@ def chunk_content(files: DataFrame, chunk_size: int = 1024, content: str = "cont
     """
     n = F.octet_length(content).cast("long")
     size = F.lit(chunk_size).cast("long")
-    piece = lambda at: F.expr(f"substring(`{content}`, 1, 1)") if at is None else F.substring(F.col(content), (at + 1).cast("int"), F.lit(chunk_size))
+    piece = lambda at: F.substring(F.col(content), (at + 1).cast("int"), F.lit(chunk_size))
     starts = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1, size)).otherwise(F.array().cast("array<bigint>"))
     parts = F.transform(starts, lambda at: F.struct(F.floor(at / size).cast("long").alias("idx"), at.alias("offset"), F.least(size, n - at).alias("length"), HASHERS["sha256"](piece(at)).alias("hash")))
     rest = [F.col(f"`{c}`") for c in files.columns if c != content]

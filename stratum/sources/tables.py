@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,18 +24,21 @@ SCHEMAS = {
 MAX_RECORD_BYTES = 1 << 30
 
 
+def _key(root: str) -> Column:
+    """The part of a path below the root, whatever scheme and host the file system puts before it."""
+    base = "/" + root.split("://", 1)[-1].strip("/") + "/"
+    return F.expr(f"substr(path, instr(path, {base!r}) + {len(base)})")
+
+
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """key, length, modified of every file below a folder, on any Hadoop file system; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.split(":", 1)[-1].rstrip("/").lstrip("/") + "/")
-    key = F.substring_index(F.col("path"), base, -1)
-    return files.select(key.alias("key"), "length", F.unix_timestamp("modificationTime").alias("modified"))
+    return files.select(_key(root).alias("key"), "length", F.unix_timestamp("modificationTime").alias("modified"))
 
 
 def file_contents(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.split(":", 1)[-1].rstrip("/").lstrip("/") + "/")
-    return files.select(F.substring_index(F.col("path"), base, -1).alias("key"), "length", "content")
+    return files.select(_key(root).alias("key"), "length", "content")
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
