@@ -121,12 +121,14 @@ def assign(
     return placed.drop("_m_key", "_m_bucket", "_m_hash", "_m_start", "_m_before", "_m_size", "_m_target", "_m_rank")
 
 
-def training_order(docs: DataFrame, partitions: int | None = None, id: str = "doc_id", **options) -> DataFrame:
+def training_order(docs: DataFrame, partitions: int | None = None, text: str = "text", source: str = "source", id: str = "doc_id", **options) -> DataFrame:
     """The mix itself: one row per copy of a document, columns of docs, range-sorted by training position.
 
     Documents without words have nothing to train on and leave.
     """
-    placed = assign(docs, id=id, **options)
-    rows = placed.select(*docs.columns, F.explode("positions").alias("_m_position"))
+    # The row travels whole, so that no column of docs meets one that assign() adds.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_m_row"), F.col(id), F.col(source))
+    placed = assign(packed, word_count(F.col("_m_row")[text]), source, id, **options)
+    rows = placed.select(F.col("_m_row.*"), F.explode("positions").alias("_m_position"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, "_m_position", id).sortWithinPartitions("_m_position", id).drop("_m_position")

@@ -73,6 +73,6 @@ def test_position_inverts_the_schedule(spark):
 
 def test_training_order(docs):
     out = mixing.training_order(docs, 3)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and {r["size"] for r in out.collect()} <= {"a", None}
     placed = mixing.assign(docs.drop("size")).withColumn("p", F.explode("positions")).orderBy("p", "doc_id")
     assert [r["doc_id"] for r in out.collect()] == [r["doc_id"] for r in placed.collect()]
