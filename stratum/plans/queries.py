@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import chunking, fsck, gc, inventory, plan, protocols, reach, rebuild, repair, state
+from ..operators import chunking, fsck, gc, inventory, jobs, plan, protocols, reach, rebuild, repair, state
 from ..streaming import events as ev
 
 NOW = 1_706_745_600
@@ -545,3 +545,76 @@ def scope_references(spark, d):
     c = _chunks(spark, d)
     records = _t(spark, d, "documents").select(F.col("doc_id").alias("record_key"), F.col("source").alias("scope_key"))
     return protocols.references(records, c.select(F.col("doc_id").alias("record_key"), "hash"), c.filter("doc_id % 10 = 0").select("hash").distinct())
+
+
+# -- composite jobs
+
+
+@query(
+    f"""WITH {CHUNKS}, own AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id, idx) AS k, min(doc_id) OVER (PARTITION BY hash) AS first FROM chunks),
+seen AS (SELECT DISTINCT hash FROM chunks WHERE doc_id % 4 = 0)
+SELECT count(*) AS inserted_objects, CAST(sum(length) AS BIGINT) AS inserted_bytes FROM own WHERE k = 1 AND hash NOT IN (SELECT hash FROM seen)"""
+)
+def ingest_objects(spark, d):
+    """Ingest of all files into a store that holds the chunks of every fourth."""
+    have = _chunks(spark, d).filter("doc_id % 4 = 0").groupBy("hash").agg(F.min("length").alias("length"))
+    objects = have.select(X.chunk_key(F.col("hash")).alias("key"), "length", F.col("hash").alias("checksum"))
+    out = jobs.ingest(_files(spark, d).select("doc_id", "content"), objects, CHUNK, "doc_id")
+    return out.objects.agg(F.count(F.lit(1)).alias("inserted_objects"), F.sum("length").alias("inserted_bytes"))
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS f, l_linenumber AS pos, l_partkey AS x, l_suppkey AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)
+SELECT DISTINCT CAST(x AS VARCHAR) AS xorb_hash, r AS idx FROM s WHERE k = 1"""
+)
+def file_start_chunks(spark, d):
+    s = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.col("l_partkey").cast("string").alias("xorb_hash"), F.col("l_suppkey").alias("range_start"))
+    return jobs.first_chunks(s)
+
+
+@query(
+    """WITH e AS (SELECT c_custkey AS key, c_custkey % 100 AS expires_at FROM customer WHERE c_custkey % 100 > 50) SELECT count(*) AS entries, min(key) AS first FROM e WHERE key <> (SELECT min(key) FROM e WHERE expires_at = 51)"""
+)
+def cache_after_eviction(spark, d):
+    e = _t(spark, d, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 100).alias("expires_at"))
+    return jobs.evict(e, 50, 10).agg(F.count(F.lit(1)).alias("entries"), F.min("key").alias("first"))
+
+
+@query(f"WITH {HOLDS} SELECT object_key, held_at, release_after FROM holds WHERE release_after IS NULL OR release_after > 1706745600")
+def active_holds(spark, d):
+    return jobs.list_holds(_holds(spark, d), NOW, active_only=True)
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 1 THEN 'schema_version' WHEN 2 THEN 'descriptor' WHEN 3 THEN 'media_type' END AS issue FROM orders")
+def manifest_checks(spark, d):
+    k = F.col("o_orderkey")
+    digest = F.when(k % 4 == 2, F.lit("sha256:no")).otherwise(F.concat(F.lit("sha256:"), F.sha2(k.cast("string").cast("binary"), 256)))
+    doc = F.to_json(F.struct(F.when(k % 4 == 1, 1).otherwise(2).alias("schemaVersion"), F.when(k % 4 == 3, F.lit("other")).otherwise(F.lit("m")).alias("mediaType"), F.array(F.struct(digest.alias("digest"), k.alias("size"))).alias("layers")))
+    return _t(spark, d, "orders").select(k.alias("id"), jobs.manifest_issue(doc, F.lit("m")).alias("issue"))
+
+
+@query("SELECT l_suppkey AS suppkey, count(*) AS runs, CAST(sum(l_linenumber) // count(*) AS BIGINT) AS mean_l_linenumber FROM lineitem GROUP BY 1")
+def bench_averages(spark, d):
+    return jobs.averages(_t(spark, d, "lineitem").withColumn("suppkey", F.col("l_suppkey")), "suppkey", "l_linenumber")
+
+
+@query("SELECT conv_id, sha256(encode(string_agg(text, '' ORDER BY turn))) AS sha256 FROM conversations GROUP BY 1")
+def resumed_digests(spark, d):
+    parts = _t(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), F.encode("text", "UTF-8").alias("content"))
+    return jobs.running_state(parts, "conv_id")
+
+
+@query(
+    """SELECT n_nationkey AS subject, r_name AS repo, n_regionkey = r_regionkey OR n_nationkey % 7 = 0 AND r_regionkey = 0 AS allowed FROM nation JOIN region ON r_regionkey = n_regionkey OR r_regionkey = 0"""
+)
+def policy_access(spark, d):
+    n, r = _t(spark, d, "nation"), _t(spark, d, "region")
+    own = n.select(F.col("n_nationkey").alias("subject"), F.col("n_regionkey").alias("key"))
+    asked = own.unionByName(own.withColumn("key", F.lit(0))).distinct()
+    repo = [F.lit("p").alias("provider"), F.lit("o").alias("owner")]
+    requests = asked.join(r, F.col("key") == F.col("r_regionkey")).select("subject", *repo, F.col("r_name").alias("repo"))
+    readers = n.groupBy("n_regionkey").agg(F.collect_list("n_nationkey").alias("readers"))
+    writers = n.filter("n_nationkey % 7 = 0").agg(F.collect_list("n_nationkey").alias("w"))
+    policies = r.join(readers, F.col("r_regionkey") == F.col("n_regionkey")).join(writers.withColumn("zero", F.lit(0)), F.col("r_regionkey") == F.col("zero"), "left")
+    policies = policies.select(*repo, F.col("r_name").alias("repo"), "readers", F.coalesce("w", F.array().cast("array<int>")).alias("writers"))
+    return jobs.allowed_subjects(requests, policies, "read").select("subject", "repo", "allowed")

@@ -83,6 +83,39 @@ def scoped_records(records: DataFrame, provider: str, owner: str, name: str) ->
     return records.filter((s["provider"] == provider) & (s["owner"] == owner) & (s["name"] == name))
 
 
+def scan_records(records: DataFrame, kind: str) -> DataFrame:
+    """Rows of one kind with the whole seconds of their change."""
+    return records.filter(F.col("record_kind") == kind).withColumn("modified", F.floor(F.unix_micros("updated_at") / 1_000_000).cast("long"))
+
+
+def locators(records: DataFrame, kind: str) -> DataFrame:
+    """Keys alone: the record column is not read."""
+    return records.filter(F.col("record_kind") == kind).select("record_key", "scope_key", "file_id", "content_hash")
+
+
+def read_record(records: DataFrame, file_id: str, scope_key: str, content_hash: str | None = None) -> DataFrame:
+    """The latest of a file, or the version of a content hash."""
+    own = records.filter((F.col("file_id") == file_id) & (F.col("scope_key") == scope_key))
+    if content_hash is None:
+        return own.filter("record_kind = 'latest'")
+    return own.filter((F.col("record_kind") == "version") & (F.col("content_hash") == content_hash))
+
+
+def sorted_inventory(objects: DataFrame) -> DataFrame:
+    """By the bytes of the key."""
+    return objects.orderBy("key")
+
+
+def legacy_records(spark: SparkSession, root: str) -> DataFrame:
+    """One JSON document per file, as rows of record_key and record."""
+    docs = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
+    return docs.select(F.col("_metadata.file_path").alias("record_key"), F.col("value").alias("record"))
+
+
+def provider_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
 def any_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
 
@@ -101,6 +134,12 @@ def current_snapshot(spark: SparkSession, root: str) -> str:
     return f"{root}/{spark.read.schema('version string').json(f'{root}/current').collect()[0]['version']}"
 
 
+def write_gc_artifacts(report: DataFrame, retention: DataFrame, orphans: DataFrame, path: str) -> None:
+    """Report, retention by due time and orphan inventory by key, as JSON lines."""
+    for name, df in (("report", report), ("retention", retention), ("orphans", orphans)):
+        df.write.json(f"{path}/{name}")
+
+
 def black_hole(df: DataFrame) -> None:
     """Runs a plan and keeps nothing: the sink of ingest benchmarks."""
     df.write.format("noop").mode("overwrite").save()

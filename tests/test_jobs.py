@@ -305,3 +305,33 @@ def test_protocols(spark):
     assert [r["tag"] for r in protocols.tag_page(tags, "r", "t1", 5).collect()] == ["t2"]
     m = frame(spark, [("r", "m", ["b1", "b2"])], "repository string, digest string, descriptors array<string>")
     assert [r["missing"] for r in protocols.missing_descriptors(m, frame(spark, [("r", "b1")], "repository string, digest string")).collect()] == ["b2"]
+
+
+def test_composite_jobs(spark, tmp_path):
+    from stratum.operators import jobs
+
+    files = frame(spark, [("f", bytearray(b"aaaabbbbaaaa")), ("g", bytearray(b"bbbb"))], "file_id string, content binary")
+    empty = spark.createDataFrame([], tables.SCHEMAS["objects"])
+    out = jobs.ingest(files, empty, 4)
+    assert sorted(r["checksum"] for r in out.objects.collect()) == sorted([sha(b"aaaa"), sha(b"bbbb")])
+    assert jobs.ingest(files, out.objects, 4).objects.count() == 0
+    tables.black_hole(out.chunks)
+    members = frame(spark, [("x", 0, 0, 10, 0, 16), ("x", 1, 10, 25, 16, 32)], "xorb_hash string, idx long, packed_start long, packed_end long, unpacked_start long, unpacked_end long")
+    assert jobs.packed_is_monotonic(members).count() == 0
+    segments = frame(spark, [("s", "f", 0, "x", 0, 2)], "shard_hash string, file_id string, pos long, xorb_hash string, range_start long, range_end long")
+    known = spark.createDataFrame([], "shard_hash string")
+    terms_, mappings, shards = jobs.register_shards(segments, members, frame(spark, [("s", "c")], "shard_hash string, chunk_hash string"), known)
+    assert (terms_.first()["packed_start"], terms_.first()["packed_end"], shards.first()["inserted"]) == (0, 25, True)
+    with pytest.raises(state.Violation):
+        jobs.register_shards(segments.withColumn("range_end", F.lit(9).cast("long")), members, mappings.withColumn("shard_hash", F.lit("s")), known)
+    holds = jobs.set_holds(spark.createDataFrame([], tables.SCHEMAS["retention_holds"]), frame(spark, [("k", "why", None), ("l", "why", 5)], "object_key string, reason string, ttl long"), 10)
+    assert sorted((r["object_key"], r["release_after"]) for r in holds.collect()) == [("k", None), ("l", 15)]
+    assert [r["object_key"] for r in jobs.list_holds(holds, 15, True).collect()] == ["k"] and jobs.release_holds(holds, holds).count() == 0
+    put, copies = jobs.digest_put(empty, frame(spark, [("d", 3, "a"), ("d", 3, "b")], "digest string, length long, scope string"), F.concat(F.lit("shared/"), "digest"), F.concat("scope", F.lit("/"), "digest"))
+    assert put.count() == 1 and sorted(r["key"] for r in copies.collect()) == ["a/d", "b/d"]
+    bad = jobs.verify_objects(frame(spark, [(f"ab/{'ab' + '0' * 62}", "x"), ("protocols/lfs/x", "y")], "key string, body_hash string"))
+    assert bad.count() == 1
+    q = frame(spark, [("a", None, None, ["lfs"]), ("download", None, "sha512", None), ("upload", None, None, ["basic"])], "op string, objects array<string>, algo string, transfers array<string>")
+    assert [r["i"] for r in q.select(jobs.lfs_request_issue(F.col("op"), F.col("objects"), F.col("algo"), F.col("transfers")).alias("i")).collect()] == ["operation", "hash_algo", None]
+    root = tables.write_snapshot({"objects": out.objects}, str(tmp_path / "snap"))
+    assert tables.current_snapshot(spark, str(tmp_path / "snap")) == root and tables.table(spark, root, "objects").count() == 2
