@@ -27,7 +27,7 @@ from .common import materialize, ship
 
 SAMPLE = 8192
 PARTS = 32
-PROBES = 26
+PROBES = 24
 PART_MIN = 256
 NEIGHBOURS = 10
 ROWS = 8192

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import threading
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,35 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import ship
+
 #: The six separators between words: space and 0x09 to 0x0D.
 SEPARATORS = " \t\n\x0b\x0c\r"
 SEPARATOR_RUN = "[\\x20\\x09-\\x0D]+"
 
-_lock = threading.Lock()
-_shipped: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables, read through Spark so that any Hadoop file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that workers can import it."""
-    app = spark.sparkContext.applicationId
-    with _lock:
-        if app in _shipped:
-            return
-        root = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="ship")
-        target = os.path.join(folder, f"{root.name}.zip")
-        with zipfile.ZipFile(target, "w") as out:
-            for f in sorted(root.rglob("*.py")):
-                out.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(target)
-        _shipped.add(app)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a fresh local one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
