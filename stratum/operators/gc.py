@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import classify_key, hold_active, saturating_sub
-from .state import require_none
+from .state import one_row, require_none
 
 
 def managed(objects: DataFrame) -> DataFrame:
@@ -113,8 +113,5 @@ def collect(objects: DataFrame, records: DataFrame, referenced: DataFrame, quara
     else:
         parts.append(state.agg(zero.alias("_released_sweep"), zero.alias("deleted_chunks"), zero.alias("deleted_bytes")))
     parts.append(state.agg(F.count(F.lit(1)).alias("active_candidates")))
-    report = parts[0]
-    for p in parts[1:]:
-        report = report.join(p)  # single rows
-    report = report.withColumn("released_candidates", F.col("_released_mark") + F.col("_released_sweep")).drop("_released_mark", "_released_sweep")
+    report = one_row(parts).withColumn("released_candidates", F.col("_released_mark") + F.col("_released_sweep")).drop("_released_mark", "_released_sweep")
     return GcResult(report, found, state, holds, deleted)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import valid_file_id, valid_hash, valid_scope_part
-from .state import require_none
+from .state import one_row, require_none
 
 
 def heads(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -67,11 +67,11 @@ def rebuild(candidates: DataFrame, latest: DataFrame, shard_members: DataFrame,
     stale = reconstructions.limit(0) if any_issue else reconstructions.join(desired.select("file_id").distinct(), "file_id", "left_anti")
     moved = reconcile(chosen, mappings, ["chunk_hash"], ["shard_object_key"])
     n = lambda df, a, name: df.agg(F.coalesce(F.sum(F.when(F.col("action") == a, 1).otherwise(0)), F.lit(0)).alias(name))
-    report = candidates.agg(F.count(F.lit(1)).alias("scanned_versions")).join(issues.agg(F.count(F.lit(1)).alias("issues")))
+    parts = [candidates.agg(F.count(F.lit(1)).alias("scanned_versions")), issues.agg(F.count(F.lit(1)).alias("issues"))]
     for df, a, name in ((change, "rebuilt", "rebuilt_latest"), (change, "unchanged", "unchanged_latest"), (change, "removed", "removed_latest"), (moved, "rebuilt", "rebuilt_mappings"), (moved, "unchanged", "unchanged_mappings"), (moved, "removed", "removed_mappings")):
-        report = report.join(n(df, a, name))
-    report = report.join(stale.agg(F.count(F.lit(1)).alias("removed_reconstructions")))
-    return RebuildResult(desired, chosen, stale, issues, report)
+        parts.append(n(df, a, name))
+    parts.append(stale.agg(F.count(F.lit(1)).alias("removed_reconstructions")))
+    return RebuildResult(desired, chosen, stale, issues, one_row(parts))
 
 
 def guard_size(rows: DataFrame, most: int, what: str) -> None:

@@ -18,6 +18,12 @@ def require_none(bad: DataFrame, what: str) -> None:
         raise Violation(f"{what}: {row[0].asDict()}")
 
 
+def one_row(parts: list[DataFrame]) -> DataFrame:
+    """The columns of several one-row frames in one row, without a product of them."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def _match(keys: list[str], left: str = "o", right: str = "n") -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
 

@@ -335,3 +335,18 @@ def test_composite_jobs(spark, tmp_path):
     assert [r["i"] for r in q.select(jobs.lfs_request_issue(F.col("op"), F.col("objects"), F.col("algo"), F.col("transfers")).alias("i")).collect()] == ["operation", "hash_algo", None]
     root = tables.write_snapshot({"objects": out.objects}, str(tmp_path / "snap"))
     assert tables.current_snapshot(spark, str(tmp_path / "snap")) == root and tables.table(spark, root, "objects").count() == 2
+
+
+def test_claims_of_a_stream(spark, tmp_path):
+    """Repeats are dropped within a batch and across batches, with and without a bound on the state."""
+    E = "provider string, owner string, repo string, delivery_id string, arrival long, ts timestamp"
+    from datetime import datetime, timedelta
+
+    rows = [("p", "o", "r", str(i % 7), i, datetime(2024, 1, 1) + timedelta(minutes=i)) for i in range(20)]
+    for k in range(2):
+        frame(spark, rows[k * 10 : k * 10 + 10], E).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    for name, time in (("all", None), ("bounded", "ts")):
+        source = spark.readStream.schema(E).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        sink = str(tmp_path / name)
+        ev.claims_stream(source, time).writeStream.format("parquet").option("path", sink).option("checkpointLocation", sink + "-ck").trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(sink).count() == 7
