@@ -1,27 +1,84 @@
+"""The whole pipeline against a plain Python version of it."""
+
+import math
 import struct
 
+import public_tokenizers
+import xxhash
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from stratum.llm import bpe, mixing, quality, simhash
+from stratum.llm import mixing, quality
 from stratum.llm.common import table
 
+from .test_mixing import fill
+from .test_quality import grams, signed, stats
+from .test_simhash import brute, closure
+
+
+def good(docs, labels):
+    trusted = {r["doc_id"] for r in labels if r["quality"] == 1 and not r["toxic"]}
+    assert len(trusted) <= quality.TARGET_ROWS
+    n = quality.BUCKETS
+    raw, target = [1] * n, [1] * n
+    for r in docs:
+        for g in grams(r["text"], n):
+            raw[g] += 1
+            target[g] += r["doc_id"] in trusted
+    a, b = math.log(sum(raw)), math.log(sum(target))
+    weight = [math.log(t) - b - math.log(x) + a for t, x in zip(target, raw)]
+    for r in docs:
+        s, g = stats(r["text"]), grams(r["text"], n)
+        if s[0] >= 20 and 100 * s[4] <= 30 * s[0] and sum(weight[x] for x in g) / len(g) >= quality.THRESHOLD:
+            yield r
+
+
+def distinct(docs):
+    fps = {r["doc_id"]: brute(r["text"]) for r in docs}
+    label = closure(set(fps.values()))
+    first = {}
+    for i, f in fps.items():
+        first[label[f]] = min(first.get(label[f], i), i)
+    return [r for r in docs if r["doc_id"] in set(first.values())]
+
+
+def copies(docs):
+    names = sorted({r["source"] for r in docs})
+    size = {r["doc_id"]: len(r["text"].encode().split()) for r in docs}
+    per = [sum(size[r["doc_id"]] for r in docs if r["source"] == s) for s in names]
+    out = {}
+    for s, total, target in zip(names, per, fill(per, [mixing.WEIGHTS[i % 3] for i in range(len(names))], 3)):
+        order = []
+        for r in docs:
+            if r["source"] == s:
+                h = xxhash.xxh64_intdigest(struct.pack("<q", r["doc_id"]), 42)
+                order.append((h >> 54, signed(h), r["doc_id"]))
+        start = 0
+        for _, _, i in sorted(order):
+            middle = start + size[i] / 2
+            out[i] = min(3, max(0, math.ceil((target - middle) / total)))
+            start += size[i]
+    return out
+
 
 def test_pipeline_on_driver_documents(spark):
     d = "/root/testdata/sf0.001"
-    docs = table(spark, d, "documents")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality", "near_dedup", "mixing", "bpe"]
-    kept = [r["doc_id"] for r in quality.quality(docs, table(spark, d, "labels")).filter("kept").collect()]
-    first = simhash.materialize(corpus_pipeline.keep_good(spark, docs, d), "p1")
-    assert first.columns == docs.columns and sorted(r["doc_id"] for r in first.collect()) == sorted(kept)
-    second = simhash.materialize(corpus_pipeline.drop_copies(spark, first, d), "p2")
-    reps = {r["component_id"] for r in simhash.near_duplicates(first).collect()}
-    assert second.columns == docs.columns and sorted(r["doc_id"] for r in second.collect()) == sorted(reps)
-    copies = {r["doc_id"]: r["copies"] for r in mixing.assign(second).collect()}
-    out = corpus_pipeline.run(spark, d).collect()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "mixing", "bpe"]
+    docs = [r.asDict() for r in table(spark, d, "documents").collect()]
+    left = distinct(list(good(docs, table(spark, d, "labels").collect())))
+    expected = {i: n for i, n in copies(left).items() if n}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r["doc_id"]: r["text"] for r in docs}
     seen = {}
-    encoder = bpe.encoder(__import__("public_tokenizers").path("word_bpe_49k.json"))
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for r in out:
+    for r in corpus_pipeline.run(spark, d).collect():
         seen[r["doc_id"]] = seen.get(r["doc_id"], 0) + 1
-        assert bytes(r["ids"]) == encoder.encode(texts[r["doc_id"]])[0] and r["n_tokens"] == len(struct.unpack(f"<{len(r['ids']) // 4}I", r["ids"]))
-    assert seen == {k: n for k, n in copies.items() if n}
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and r["n_tokens"] == len(ids)
+    assert seen == expected
+
+
+def test_stages_keep_the_columns_of_documents(spark):
+    d = "/root/testdata/sf0.001"
+    docs = table(spark, d, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, d).columns == docs.columns
