@@ -395,7 +395,7 @@ def repo_state_fold(spark, d):
 @query(
     f"""WITH {EVENTS}, s AS (SELECT provider, owner, repo, max(secs) FILTER (WHERE kind = 'access_changed') AS a, max(secs) FILTER (WHERE kind = 'revision_pushed') AS r FROM ev GROUP BY 1, 2, 3),
 t AS (SELECT *, CASE WHEN CAST(repo AS BIGINT) % 3 = 0 THEN 1705968000 END AS c FROM s)
-SELECT provider, owner, repo, CASE WHEN greatest(coalesce(a, r), coalesce(r, a)) IS NULL OR c >= greatest(coalesce(a, r), coalesce(r, a)) THEN c ELSE 1706745600 END AS last_cache_invalidated_at FROM t"""
+SELECT provider, owner, repo, CAST(CASE WHEN greatest(coalesce(a, r), coalesce(r, a)) IS NULL OR c >= greatest(coalesce(a, r), coalesce(r, a)) THEN c ELSE 1706745600 END AS BIGINT) AS last_cache_invalidated_at FROM t"""
 )
 def reconciled_states(spark, d):
     e = _deliveries(spark, d)
