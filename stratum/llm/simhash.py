@@ -149,6 +149,8 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int |
     celled = fps.select("fp", _cell(F.col("fp"), blocks).alias("cell"))
     sizes = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
     spread = celled.join(sizes, "cell").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    # Dealt by tile before they are gathered: a crowded cell is many tiles, and its join by cell can be split.
+    spread = spread.select("cell", "tile", "fp").repartition("cell", "tile")
     tiles = materialize(spread.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
     here = tiles.select(F.col("cell").alias("cell_a"), F.col("tile").alias("tile_a"))
     steps = F.array(*[F.lit(s).cast("long") for s in _steps(blocks, radius)])
