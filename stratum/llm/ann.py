@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, sampled, ship
 
 SAMPLE = 8192
 PARTS = 32
@@ -142,8 +142,8 @@ class Router:
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Router | None:
-    """From at most ``sample`` usable vectors, those of smallest hash of their id."""
-    rows = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    """From at most ``sample`` usable vectors, of the smallest by hash of their id; one of each id."""
+    rows = sampled(vectors.select("vec_id", "embedding"), "vec_id", sample).dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     if not rows:
         return None
     dim = Counter(len(r["embedding"]) for r in rows).most_common(1)[0][0]

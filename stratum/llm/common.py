@@ -61,6 +61,18 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def sampled(rows: DataFrame, id: str, most: int) -> DataFrame:
+    """Rows of about ``most`` ids at most, those of smallest hash; all if there are no more rows than that.
+
+    The share that passes is set by a count, so what any later step gathers is near ``most`` whatever the input or
+    its partitions; a repeated id passes or goes as one.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.filter(F.shiftrightunsigned(F.xxhash64(id), 11) < F.lit(int(0.95 * most / n * 2**53)))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text, JVM-side; null and blank texts have none."""
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))

@@ -68,3 +68,16 @@ def test_balanced_parts():
     part = ann.balanced_parts(ann.neighbour_graph(x, 8), 4)
     assert sorted(np.bincount(part)) == [150] * 4
     assert all(np.bincount(part[i * 150 : i * 150 + 150]).max() > 140 for i in range(4))
+
+
+def test_samples_are_bounded(spark):
+    from stratum.llm.common import sampled
+
+    rows = spark.range(20_000).select(F.col("id").alias("vec_id"))
+    once = {r["vec_id"] for r in sampled(rows, "vec_id", 2000).collect()}
+    assert 1700 < len(once) <= 2000 and once == {r["vec_id"] for r in sampled(rows.repartition(7), "vec_id", 2000).collect()}
+    assert sampled(rows, "vec_id", 20_000).count() == 20_000
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(1500)] + [(7, [1.0, 0.0, 0.0, 0.0])] * 500, "vec_id long, embedding array<double>")
+    assert ann.search(df, F.col("vec_id") == 3, sample=600).count() == 20
