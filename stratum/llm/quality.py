@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, words
+from .common import SEPARATORS, sampled, words
 
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
@@ -95,10 +95,10 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """At most ``rows`` ids of documents labelled good and not toxic, the smallest by hash: the documented bound."""
+    """At most ``rows`` ids of documents labelled good and not toxic, of the smallest by hash: the documented bound."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
     ids = good.select(F.col("doc_id").alias("_q_id")).distinct()
-    return ids.orderBy(F.xxhash64("_q_id"), "_q_id").limit(rows)
+    return sampled(ids, "_q_id", rows).orderBy(F.xxhash64("_q_id"), "_q_id").limit(rows)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, text: str = "text", id: str = "doc_id") -> list[float] | None:
