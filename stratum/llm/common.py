@@ -73,6 +73,18 @@ def sampled(rows: DataFrame, id: str, most: int) -> DataFrame:
     return rows.filter(F.shiftrightunsigned(F.xxhash64(id), 11) < F.lit(int(0.95 * most / n * 2**53)))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """64 bits of a whole row; equal for rows that are equal in every column."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*cols, *[c.isNull() for c in cols])
+
+
+def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row of docs for each row hash in keep (digest): which of several equal rows makes no difference."""
+    asked = keep.select(F.col("digest").alias("_k_keep"))
+    return docs.withColumn("_k_hash", row_hash(docs)).join(asked, F.col("_k_hash") == F.col("_k_keep"), "left_semi").dropDuplicates(["_k_hash"]).drop("_k_hash")
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text, JVM-side; null and blank texts have none."""
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_texts, materialize, split_words
+from .common import discard, keep_rows, map_texts, materialize, row_hash, split_words
 from .common import materialize as stored
 
 RADIUS = 2
@@ -219,11 +219,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", i
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One document of each component stays: its smallest id. Of rows repeating that id one stays; columns as in docs.
-
-    Documents without an id, in components without any, share no identity that could be repeated and all stay.
-    """
-    keep = near_duplicates(docs, radius, text, id).filter("doc_id = component_id").select(F.col("doc_id").alias("_s_keep")).distinct()
-    null_only = docs.filter(F.col(id).isNull())
-    kept = docs.join(keep, F.col(id) == F.col("_s_keep"), "left_semi")
-    return kept.dropDuplicates([id]).unionByName(null_only)
+    """One row of each component stays, columns as in docs: the first by id (null last), fingerprint, text hash and row hash."""
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_s_text"), F.xxhash64(text).alias("text_hash"), row_hash(docs).alias("digest"))
+    fps = materialize(with_fingerprint(rows, "_s_text").select("doc_id", F.col("_s_fp").alias("fp"), "text_hash", "digest"), "simhash-fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "text_hash", "digest")).alias("first")
+    classes = materialize(fps.groupBy("fp").agg(first), "simhash-classes")
+    labels = components(materialize(links(classes.select("fp"), radius), "simhash-links"))
+    joined = classes.join(labels, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("label", "fp").alias("label"))
+    return keep_rows(docs, joined.groupBy("label").agg(F.min("first").alias("first")).select("first.digest"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratum.llm import neardup
+from stratum.llm import neardup, simhash
 
 from .test_pipeline import copies, good
 
@@ -91,3 +91,10 @@ def test_whole_pipeline_without_near_copies(spark):
     for r in corpus_pipeline.run(spark, d).select("doc_id").collect():
         seen[r[0]] = seen.get(r[0], 0) + 1
     assert seen == expected
+
+
+def test_one_row_of_each_fingerprint_group(spark):
+    """Copies without an id go with those that have one, one stays where none has, and a repeated id does not drop another text."""
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, "only here twice"), (None, "only here twice"), (2, "one text of many words"), (2, "another one that differs")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(str, map(tuple, simhash.deduplicate(docs).collect()))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
