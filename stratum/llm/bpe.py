@@ -17,12 +17,13 @@ whole; rows are independent, so ties, repeats and empty tables need no rule. Out
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import map_texts, trim_memory
 
 NAME = "word_bpe_49k.json"
 END = "</w>"
@@ -30,7 +31,9 @@ END = "</w>"
 MARK = "\0"
 #: Texts of these characters alone need no Unicode normalisation, and lower() and split() act on them as the tokenizer does.
 PLAIN = "[^\\t-\\r\\x20-\\x7e\\xa1-\\u0129\\u0131-\\u0148\\u014a-\\u017f\\u2010-\\u2027\\u2030-\\u203a\\u20ac]"
+#: Entries of each of the two memos of words, and of the memo of pairs; with words of MEMO_WORD characters at most some 200 MB.
 MEMO = 300_000
+PAIRS = 400_000
 MEMO_WORD = 64
 
 
@@ -104,7 +107,7 @@ class Encoder:
                         break
                 if not known:
                     break
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
             self.compatible[key] = known
         return known
@@ -119,7 +122,7 @@ class Encoder:
             if last[end] is None:
                 start = end - match[1]
                 if start == 0:
-                    # A token alone is the encoding of its own text unless an earlier merge order never builds it.
+                    # A token alone is the encoding of its own text: unreachable() finds no other in this file.
                     last[end] = match
                 elif last[start] is not None and fits(last[start][0], match[0]):
                     last[end] = match
@@ -181,29 +184,66 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
+    """One per running task and file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def forget() -> None:
+    """The worker waits for other tasks without the encoder and its memos."""
+    _encoders.clear()
+    trim_memory()
+
+
+@lru_cache(maxsize=4)
+def unreachable(path: str) -> tuple[str, ...]:
+    """Tokens whose own text is encoded otherwise, by plain merging: with any, a prefix's last token would not be unique."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    rank = {tuple(m): r for r, m in enumerate(spec["model"]["merges"])}
+    special = {t["content"] for t in spec["added_tokens"]}
+    out = []
+    for token in spec["model"]["vocab"]:
+        if token in special or token == END:
+            continue
+        parts = [*token[: -len(END)]] if token.endswith(END) else [*token]
+        if token.endswith(END):
+            parts[-1] += END
+        while len(parts) > 1:
+            r, at = min((rank.get(pair, len(rank)), i) for i, pair in enumerate(zip(parts, parts[1:])))
+            if r == len(rank):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) > 1:
+            out.append(token)
+    return tuple(out)
+
+
 def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """docs plus ids (binary, little-endian unsigned 32-bit) and decoded (string)."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(NAME)
+    if lost := unreachable(path):
+        raise ValueError(f"{len(lost)} tokens of {path} are not the encoding of their own text, {lost[0]!r} first")
 
     def make():
         from stratum.llm.bpe import encoder
 
         enc = encoder(path)
 
-        def run(texts: list[str]) -> list[list]:
+        def run(texts: list[str], enc=enc) -> list[list]:
             out = [enc.encode(t) for t in texts]
             return [[x[0] for x in out], [x[1] for x in out]]
 
         return run
 
     fields = [("ids", T.BinaryType(), pa.binary()), ("decoded", T.StringType(), pa.string())]
-    return map_texts(docs, text, fields, make)
+    def done():
+        from stratum.llm.bpe import forget
+
+        forget()
+
+    return map_texts(docs, text, fields, make, done=done)

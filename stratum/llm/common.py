@@ -85,6 +85,16 @@ def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
     return docs.withColumn("_k_hash", row_hash(docs)).join(asked, F.col("_k_hash") == F.col("_k_keep"), "left_semi").dropDuplicates(["_k_hash"]).drop("_k_hash")
 
 
+def trim_memory() -> None:
+    """Gives what Python has freed back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text, JVM-side; null and blank texts have none."""
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))
@@ -118,11 +128,13 @@ def map_texts(
     fields: list[tuple[str, T.DataType, pa.DataType]],
     make: Callable[[], Callable[[list[str]], list[list]]],
     budget: int = 4 << 20,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """df with columns computed from a text column in Arrow batches balanced by bytes; a null text counts as empty.
 
     make() builds the worker's function; it gets a list of texts and returns one list of values per field. New
-    columns replace those of the same name. No shuffle; a lost executor only repeats its own splits.
+    columns replace those of the same name. No shuffle; a lost executor only repeats its own splits. done() is called when a
+    task has ended: workers stay alive for later tasks, and what make() has built would stay with them.
     """
     ship(df.sparkSession)
     names = [f[0] for f in fields]
@@ -132,11 +144,16 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            column = batch.column(0)
-            for a, b in slices(pc.binary_length(column).to_pylist(), budget):
-                out = fn(column.slice(a, b - a).to_pylist())
-                arrays = [batch.column(i + 1).slice(a, b - a) for i in range(len(rest))]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(v, t) for v, (_, _, t) in zip(out, fields)], names=rest + names)
+        try:
+            for batch in batches:
+                column = batch.column(0)
+                for a, b in slices(pc.binary_length(column).to_pylist(), budget):
+                    out = fn(column.slice(a, b - a).to_pylist())
+                    arrays = [batch.column(i + 1).slice(a, b - a) for i in range(len(rest))]
+                    yield pa.RecordBatch.from_arrays(arrays + [pa.array(v, t) for v, (_, _, t) in zip(out, fields)], names=rest + names)
+        finally:
+            if done is not None:
+                del fn
+                done()
 
     return kept.mapInArrow(run, schema)

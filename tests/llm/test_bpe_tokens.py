@@ -95,3 +95,14 @@ def test_safe_parts_add_up():
     parts = tokencount.safe_parts(text, 500)
     assert "".join(parts) == text and len(parts) > 20
     assert sum(counts(parts)) == counts([text])[0] == len(BYTES.encode(text, add_special_tokens=False).ids)
+
+
+def test_every_token_is_the_encoding_of_its_own_text(tmp_path):
+    import json
+
+    path = public_tokenizers.path(bpe.NAME)
+    assert bpe.unreachable(path) == ()
+    spec = json.load(open(path, encoding="utf-8"))
+    spec["model"]["merges"] = spec["model"]["merges"][1:]
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    assert bpe.unreachable(str(tmp_path / "t.json"))

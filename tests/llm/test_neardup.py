@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from stratum.llm import neardup, simhash
 
-from .test_pipeline import copies, good
-
 
 def grams(text):
     w = (text or "").encode().lower().split()
@@ -81,18 +79,6 @@ def test_one_row_of_each_component(spark):
     assert neardup.deduplicate(got.filter(F.lit(False))).count() == 0
 
 
-def test_whole_pipeline_without_near_copies(spark):
-    d = "/root/testdata/sf0.001"
-    docs = [r.asDict() for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
-    left = list(good(docs, spark.read.parquet(f"{d}/labels.parquet").collect()))
-    stay = set(survivors([(r["doc_id"], r["text"]) for r in left]))
-    expected = {i: n for i, n in copies([r for r in left if r["doc_id"] in stay]).items() if n}
-    seen = {}
-    for r in corpus_pipeline.run(spark, d).select("doc_id").collect():
-        seen[r[0]] = seen.get(r[0], 0) + 1
-    assert seen == expected
-
-
 def test_one_row_of_each_fingerprint_group(spark):
     """Copies without an id go with those that have one, one stays where none has, and a repeated id does not drop another text."""
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, "only here twice"), (None, "only here twice"), (2, "one text of many words"), (2, "another one that differs")]

@@ -13,7 +13,7 @@ from stratum.llm.common import table
 
 from .test_mixing import fill
 from .test_quality import grams, signed, stats
-from .test_simhash import brute, closure
+from .test_neardup import groups, survivors
 
 
 def good(docs, labels):
@@ -34,12 +34,9 @@ def good(docs, labels):
 
 
 def distinct(docs):
-    fps = {r["doc_id"]: brute(r["text"]) for r in docs}
-    label = closure(set(fps.values()))
-    first = {}
-    for i, f in fps.items():
-        first[label[f]] = min(first.get(label[f], i), i)
-    return [r for r in docs if r["doc_id"] in set(first.values())]
+    """Five-word shingles, links at a similarity of 0.8: every pair is compared."""
+    stay = set(survivors([(r["doc_id"], r["text"]) for r in docs]))
+    return [r for r in docs if r["doc_id"] in stay]
 
 
 def copies(docs):
@@ -82,3 +79,25 @@ def test_stages_keep_the_columns_of_documents(spark):
     docs = table(spark, d, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
+
+
+def test_stages_with_nulls_repeats_and_empty_tables(spark, docs, no_docs):
+    """Every stage alone and all in turn: ids and texts may be null or repeated; rows survive or go as a plain version says."""
+    d = "/root/testdata/sf0.001"
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, d).count() == 0
+    rows = docs.collect()
+    first = {}
+    for r, g in zip(rows, groups([(r["doc_id"], r["text"]) for r in rows])):
+        first.setdefault(g, []).append(r)
+    kept = corpus_pipeline.drop_copies(spark, docs, d).collect()
+    assert len(kept) == len(first)
+    assert sorted(str(r) for r in kept) == sorted(str(r) for r in corpus_pipeline.drop_copies(spark, docs.repartition(5), d).collect())
+    for members in first.values():
+        ids = [r["doc_id"] for r in members if r["doc_id"] is not None]
+        here = [r for r in kept if r in members]
+        assert len(here) == 1 and (here[0]["doc_id"] == min(ids) if ids else here[0]["doc_id"] is None)
+    left = docs
+    for _, stage in corpus_pipeline.STAGES:
+        left = stage(spark, left, d)
+    assert left.count() == len(left.collect())
