@@ -3,19 +3,23 @@
 A bounded sample of the vectors (SAMPLE, the smallest by hash) is linked to a neighbour graph, the graph is cut into balanced
 parts by recursive bisection (a spectral start, then swaps that lower the cut), and a small softmax classifier learns, for each sampled
 vector, the share of its neighbours in each part. The classifier then indexes every row, in its most probable part, and routes a query
-to its PROBES most probable parts, whose rows are compared exactly in double precision.
+to its most probable parts, whose rows are compared exactly in double precision. There are about sqrt(rows) / 2 parts, as far as the
+sample has PART_MIN vectors for each; tables of fewer than 2 * PART_MIN rows are one part.
 
-Parts are dealt out in blocks of rows and blocks of queries, so a part that holds a third of all rows, or draws a
-third of all queries, is many bounded tasks. Nothing that grows with the input reaches the driver.
+How many parts are probed follows from the data: a tenth of the sample is kept out of the graph, and the fewest probes are taken at
+which these find RECALL of their nearest vectors. Vectors that lie in groups need few, directionless noise needs most of the parts.
 
-Defined results: null or zero vectors, vectors with null or non-finite components, and vectors of another length than most
-of the sample take no part; ties go to the smaller vec_id; repeated rows are candidates of their own, except to queries
-of the same vec_id; with fewer candidates than asked for all are returned; an empty table gives no rows.
+Parts are dealt out in blocks of rows and blocks of queries, BLOCK bytes and a quarter of them, and every two blocks of a part meet:
+a part that holds a third of all rows, or draws a third of all queries, is many bounded tasks. Nothing that grows with the
+input reaches the driver.
+
+Defined results: null or zero vectors and vectors with null or non-finite components take no part; shorter vectors than the longest
+count as ending in zeros; ties go to the smaller vec_id; repeated rows are candidates of their own, except to queries
+of the same vec_id; with fewer candidates than asked for all are returned; an empty table gives no rows. Extra columns leave.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,10 @@ from pyspark.sql import functions as F
 from .common import materialize, sampled, ship
 
 SAMPLE = 8192
-PARTS = 32
-PROBES = 24
-PART_MIN = 256
+PART_MIN = 32
+RECALL = 0.95
 NEIGHBOURS = 10
-ROWS = 8192
-QUERIES = 2048
+BLOCK = 32 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -120,15 +122,33 @@ def train_router(x: np.ndarray, shares: np.ndarray, steps: int = 200, rate: floa
 
 
 class Router:
-    """scale, weights and the dimension; a few hundred kB at most."""
+    """scale, weights, the dimension and the number of probes; a few hundred kB at most."""
 
-    def __init__(self, sample: np.ndarray, parts: int = PARTS, part_min: int = PART_MIN):
+    def __init__(self, sample: np.ndarray, parts: int, k: int = 20, recall: float = RECALL):
         self.dim = sample.shape[1]
-        self.parts = max(1, min(parts, len(sample) // part_min))
+        self.parts = max(1, min(parts, len(sample) // PART_MIN))
+        self.probes = 1
         self.scale = float(np.sqrt((sample**2).mean()) or 1.0)
         if self.parts == 1:
             self.weights = np.zeros((self.dim + 1, 1))
             return
+        self.learn(np.delete(sample, np.s_[::10], axis=0))
+        self.probes = self.fewest_probes(sample, np.arange(0, len(sample), 10), k, recall)
+
+    def fewest_probes(self, sample: np.ndarray, asked: np.ndarray, k: int, recall: float) -> int:
+        """Probes at which the vectors ``asked`` find ``recall`` of their k nearest of the sample."""
+        part = np.argmax(self.scores(sample), axis=1)
+        hits = np.zeros(self.parts)
+        for at in range(0, len(asked), 256):
+            some = asked[at : at + 256]
+            s = sample[some] @ sample.T
+            s[np.arange(len(some)), some] = -np.inf
+            near = part[np.argpartition(-s, min(k, s.shape[1] - 1) - 1, axis=1)[:, :k]]
+            rank = np.argsort(np.argsort(-self.scores(sample[some]), axis=1, kind="stable"), axis=1)
+            hits += np.bincount(np.take_along_axis(rank, near, axis=1).ravel(), minlength=self.parts)
+        return int(np.searchsorted(np.cumsum(hits) / hits.sum(), recall)) + 1
+
+    def learn(self, sample: np.ndarray) -> None:
         graph = neighbour_graph(sample)
         part = balanced_parts(graph, self.parts)
         shares = np.zeros((len(sample), self.parts))
@@ -141,13 +161,12 @@ class Router:
         return (x / self.scale) @ self.weights[:-1] + self.weights[-1]
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Router | None:
-    """From at most ``sample`` usable vectors, of the smallest by hash of their id; one of each id."""
-    rows = sampled(vectors.select("vec_id", "embedding"), "vec_id", sample).dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int | None = None, k: int = 20, recall: float = RECALL) -> Router | None:
+    """From at most ``sample`` usable vectors of one length, of the smallest by hash of their id; one of each id."""
+    rows = sampled(vectors.select("vec_id", "embedding"), "vec_id", sample).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     if not rows:
         return None
-    dim = Counter(len(r["embedding"]) for r in rows).most_common(1)[0][0]
-    return Router(np.array([r["embedding"] for r in rows if len(r["embedding"]) == dim], dtype=np.float64), parts)
+    return Router(np.array([r["embedding"] for r in rows], dtype=np.float64), parts or round(vectors.count() ** 0.5 / 2), k, recall)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -158,8 +177,9 @@ def nearest(q_id: np.ndarray, q: np.ndarray, r_id: np.ndarray, r: np.ndarray, k:
     """(query, vector, score) of the k rows of largest inner product for each query, own id excluded."""
     q, r = q.astype(np.float64), r.astype(np.float64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(q), 256):
-        part, ids = q[at : at + 256], q_id[at : at + 256]
+    step = max(1, min(256, (4 << 20) // max(1, len(r))))
+    for at in range(0, len(q), step):
+        part, ids = q[at : at + step], q_id[at : at + step]
         s = part @ r.T
         s[ids[:, None] == r_id[None, :]] = -np.inf
         if s.shape[1] > k:
@@ -177,16 +197,26 @@ def nearest(q_id: np.ndarray, q: np.ndarray, r_id: np.ndarray, r: np.ndarray, k:
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, parts: int = PARTS, probes: int = PROBES, sample: int = SAMPLE, rows: int = ROWS, asks: int = QUERIES) -> DataFrame:
-    """query_id, rank (int, from 1), vec_id, score of the k nearest of each row for which ``queries`` holds."""
+def search(
+    vectors: DataFrame, queries: Column, k: int = 20, parts: int | None = None, probes: int | None = None, sample: int = SAMPLE, rows: int | None = None, asks: int | None = None, recall: float = RECALL
+) -> DataFrame:
+    """query_id, rank (int, from 1), vec_id, score of the k nearest of each row for which ``queries`` holds.
+
+    parts and probes: given, or found as above.
+    """
     spark = vectors.sparkSession
     ship(spark)
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("ask")).filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router = fit(good, sample, parts)
-    if router is None:
+    longest = good.agg(F.max(F.size("embedding"))).collect()[0][0]
+    if longest is None:
         return empty
-    dim, probes = router.dim, min(probes, router.parts)
+    short = F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("embedding"))
+    good = good.withColumn("embedding", F.when(F.size("embedding") < longest, F.concat("embedding", short)).otherwise(F.col("embedding")))
+    router = fit(good, sample, parts, k, recall)
+    dim, probes = router.dim, min(probes or router.probes, router.parts)
+    rows = rows or max(256, BLOCK // (8 * dim))
+    asks = asks or max(256, BLOCK // (32 * dim))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +226,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, parts: int = PARTS,
                 offsets = np.arange(0, best.size + 1, probes, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, best.ravel())], ["vec_id", "embedding", "ask", "parts"])
 
-    indexed = materialize(good.filter(F.size("embedding") == dim).mapInArrow(index, "vec_id long, embedding array<double>, ask boolean, parts array<int>"), "ann-index")
+    indexed = materialize(good.mapInArrow(index, "vec_id long, embedding array<double>, ask boolean, parts array<int>"), "ann-index")
     # One row a part: how many blocks of rows it takes, and how many of the queries routed to it.
     held = {r["part"]: r["n"] for r in indexed.groupBy(F.get("parts", F.lit(0)).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     asked = {r["part"]: r["n"] for r in indexed.filter("ask").select(F.explode("parts").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
