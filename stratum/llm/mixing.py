@@ -3,9 +3,9 @@
 Every source has a weight schedule over training time 0..1, piecewise linear between knots. Its integral over time is the source's
 share, and scaled by the source's target it is the source's cumulative demand of tokens, D(t). A source's documents,
 in a fixed pseudo-random order and repeated in epochs, fill its own token axis; the copy of a document that starts
-at token x is taken if its middle lies below the target, and is trained at position D^-1(x). Documents are then
-range-sorted by position. Prefix sums run in two levels, (source, bucket of the order) and inside a bucket, so
-that no window holds a whole source, however hot.
+at token x is taken if its middle lies below the target, and is trained at position D^-1(x). Copies are then range-sorted by
+position; what a document gives to the mix is summed from its copies there. Prefix sums run in two levels, (source, bucket of the
+order) and inside a bucket, about the square root of the rows each, so that no window holds a whole source, however hot.
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a source of its own, last by code
 point; an empty table gives no rows; a source of size 0 has target 0; repeated rows are documents of their own.
@@ -14,16 +14,16 @@ Extra columns stay, output columns replace those of the same name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialize, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
-ORDER_BUCKETS = 1024
 #: Weight schedules by rank of the source: (time, relative weight) knots. Heavy sources fade, light ones grow.
 SCHEDULES = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 1.0), (1.0, 1.75)))
 
@@ -91,14 +91,20 @@ def assign(
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
     max_repeat: int = MAX_REPEAT,
     share: float = 1.0,
+    digits: int | None = None,
 ) -> DataFrame:
-    """docs plus size, source_size, target, copies (int), taken (long) and positions (array<double>, one per copy)."""
+    """docs plus size, source_size, target, copies (int), taken (long) and positions (array<double>, one per copy).
+
+    The order of a source's documents is that of the MD5 of their ids, of which the first ``digits`` choose the bucket.
+    """
     size = word_count(F.col("text")) if size is None else size
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("null"))
-    df = docs.withColumns({"size": size, "_m_key": key, "_m_hash": F.xxhash64(F.col(id))})
-    df = df.withColumn("_m_bucket", F.shiftrightunsigned(F.col("_m_hash"), 54).cast("int") if ORDER_BUCKETS == 1024 else F.pmod(F.col("_m_hash"), F.lit(ORDER_BUCKETS)).cast("int"))
+    df = docs.withColumns({"size": size, "_m_key": key, "_m_hash": F.md5(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary"))})
+    if digits is None:
+        digits = max(1, math.ceil(math.log(max(1, docs.count()), 16) / 2))
+    df = df.withColumn("_m_bucket", F.substring("_m_hash", 1, digits))
     per_bucket = df.groupBy("_m_key", "_m_bucket").agg(F.sum("size").alias("_m_sum"), F.first(F.col(source)).alias("source"))
-    # At most ORDER_BUCKETS rows of a source meet in this window.
+    # One row a bucket of a source meets in this window.
     before = Window.partitionBy("_m_key").orderBy("_m_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_m_before", F.coalesce(F.sum("_m_sum").over(before), F.lit(0)))
     sources = per_bucket.groupBy("_m_key").agg(F.sum("_m_sum").alias("source_size"), F.first("source").alias("source"))
@@ -121,6 +127,23 @@ def assign(
     return placed.drop("_m_key", "_m_bucket", "_m_hash", "_m_start", "_m_before", "_m_size", "_m_target", "_m_rank")
 
 
+def in_order(copies: DataFrame, id: str, partitions: int | None = None) -> DataFrame:
+    """Copies (_m_position) range-sorted by training position."""
+    n = partitions or int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return copies.repartitionByRange(n, "_m_position", id).sortWithinPartitions("_m_position", id)
+
+
+def mixed(docs: DataFrame, source: str = "source", id: str = "doc_id", **options) -> DataFrame:
+    """docs (with a size) as the mix uses them: source_size, target, and from the copies in training order taken, copies and first_position."""
+    rows = materialize(docs.withColumn("_m_row", F.monotonically_increasing_id()), "mix-sizes")
+    placed = materialize(assign(rows, F.col("size"), source, id, **options).drop("copies", "taken"), "mix-placed")
+    copies = in_order(placed.select("_m_row", F.col(id), "size", F.explode("positions").alias("_m_position")), id)
+    trained = copies.filter(F.col("_m_position").between(0.0, 1.0)).groupBy(F.col("_m_row").alias("_m_of"))
+    trained = trained.agg(F.sum("size").alias("_m_taken"), F.count(F.lit(1)).cast("int").alias("_m_copies"), F.min("_m_position").alias("first_position"))
+    out = placed.drop("positions").join(trained, F.col("_m_row") == F.col("_m_of"), "left")
+    return out.withColumns({"taken": F.coalesce("_m_taken", F.lit(0)).cast("long"), "copies": F.coalesce("_m_copies", F.lit(0))}).drop("_m_row", "_m_of", "_m_taken", "_m_copies")
+
+
 def training_order(docs: DataFrame, partitions: int | None = None, text: str = "text", source: str = "source", id: str = "doc_id", **options) -> DataFrame:
     """The mix itself: one row per copy of a document, columns of docs, range-sorted by training position.
 
@@ -130,5 +153,38 @@ def training_order(docs: DataFrame, partitions: int | None = None, text: str = "
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_m_row"), F.col(id), F.col(source))
     placed = assign(packed, word_count(F.col("_m_row")[text]), source, id, **options)
     rows = placed.select(F.col("_m_row.*"), F.explode("positions").alias("_m_position"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "_m_position", id).sortWithinPartitions("_m_position", id).drop("_m_position")
+    return in_order(rows, id, partitions).drop("_m_position")
+
+
+def position_sql(share: str, rank: str, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> str:
+    """position() as SQL."""
+    cases = []
+    for k, schedule in enumerate(schedules):
+        time = ""
+        for start, weight, slope, done in _normalised(schedule):
+            x = f"greatest({share} - {done!r}::DOUBLE, 0.0::DOUBLE)"
+            s = f"CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE 2 * {x} / ({weight!r}::DOUBLE + sqrt(greatest({weight * weight!r}::DOUBLE + {2 * slope!r}::DOUBLE * {x}, 0.0::DOUBLE))) END"
+            time = f"{start!r}::DOUBLE + {s}" if not time else f"CASE WHEN {share} >= {done!r}::DOUBLE THEN {start!r}::DOUBLE + {s} ELSE {time} END"
+        cases.append(f"WHEN {rank} % {len(schedules)} = {k} THEN least({time}, 1.0::DOUBLE)")
+    return f"CASE {' '.join(cases)} END"
+
+
+def mix_sql(weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> str:
+    """The mix of documents as SQL, as op1_mixing returns it."""
+    weight = " ".join(f"WHEN r % {len(weights)} = {k} THEN {float(w)!r}::DOUBLE" for k, w in enumerate(weights))
+    most = float(max_repeat)
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM s),
+w AS (SELECT *, CASE {weight} END AS weight, source_size * {most!r}::DOUBLE AS cap FROM r),
+l AS (SELECT *, cap / weight AS level FROM w),
+t AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS reach
+  FROM l WINDOW b AS (ORDER BY level, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, (SELECT reach FROM t WHERE reach <= level ORDER BY level, r LIMIT 1) AS common FROM t),
+g AS (SELECT source, source_size, r, greatest(CASE WHEN common IS NULL THEN cap ELSE least(cap, common * weight) END, 0.0::DOUBLE) AS target FROM f),
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
+c AS (SELECT p.doc_id, p.size, p.start, g.source_size, g.target, g.r,
+  CASE WHEN size > 0 AND g.source_size > 0 THEN least({int(max_repeat)}, greatest(0, CAST(ceil((g.target - (start + size / 2)) / g.source_size) AS INTEGER))) ELSE 0 END AS copies
+  FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies,
+  CASE WHEN copies > 0 THEN {position_sql('least(start / target, 1.0::DOUBLE)', 'r')} END AS first_position FROM c"""

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, hpylm, htmltext, mixing, quality, simhash, tokencount, urlfilter, warc
-from .common import fresh_path, materialize, table, word_count
+from .common import fresh_path, table, word_count
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    placed = mixing.assign(materialize(docs, "mix-sizes"), size=F.col("size"))
-    return placed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("first_position"))
+    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +89,4 @@ _WARC_SQL = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''
 g AS (SELECT h, max(page_id) AS first FROM p WHERE n >= {warc.MIN_REVISIT} GROUP BY h)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.h AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN g ON g.h = p.h"""
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": _url_sql(), "op7_warc": _WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.mix_sql(), "op4_url_filter": _url_sql(), "op7_warc": _WARC_SQL}

@@ -54,6 +54,24 @@ def test_whole_mix(spark, docs, no_docs):
     assert mixing.assign(no_docs).count() == 0
 
 
+def test_query_equals_its_sql(spark, tmp_path):
+    """Repeats, nulls and clashing columns; what is taken comes from the copies in order."""
+    import duckdb
+
+    from stratum.llm import queries
+
+    rows = [(r[0], r[1], r[2], r[3], r[4]) for r in document_rows() if r[0] is not None]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for d in (str(tmp_path), "/root/testdata/sf0.01"):
+        got = queries.op1_mixing(spark, d)
+        path = f"{d}/documents.parquet/*.parquet" if d == str(tmp_path) else f"{d}/documents.parquet"
+        duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}'")
+        expected = duckdb.sql(queries.ORACLE_SQL["op1_mixing"])
+        assert got.columns == expected.columns
+        a, b = (sorted(map(tuple, x), key=str) for x in (got.collect(), expected.fetchall()))
+        assert a == b
+
+
 def test_position_inverts_the_schedule(spark):
     schedule = ((0.0, 1.0), (0.25, 3.0), (0.5, 0.0), (1.0, 2.0))
     shares = [i / 200 for i in range(201)]
