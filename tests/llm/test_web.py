@@ -128,6 +128,64 @@ def test_held_out_pages(spark):
         assert r["text"] == " ".join(unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", article))).split())
 
 
+def splits(tree):
+    return {htmltext.FEATURES[tree[0]]} | splits(tree[2]) | splits(tree[3]) if isinstance(tree, tuple) else set()
+
+
+def held_out_blocks(seed, pages=60):
+    """Pages without telling names or articles: (features, label) of their blocks, of other lengths than the labelled ones."""
+    rng = random.Random(seed)
+    for _ in range(pages):
+        html, labels = "", []
+
+        def add(piece, label):
+            nonlocal html
+            html += piece
+            labels.extend(label)
+
+        add(htmltext._a(*(rng.randint(1, 4) for _ in range(rng.randint(2, 6)))), [])
+        labels.extend([0] * html.count("<li>"))
+        if rng.random() < 0.5:
+            add(htmltext._d(rng.randint(10, 19)), [0])
+            add(htmltext._a(1, 2), [0, 0])
+        add(htmltext._p(rng.randint(20, 40)), [1])
+        for _ in range(rng.randint(1, 4)):
+            add(htmltext._p(rng.randint(3, 12), rng.randint(20, 40)), [1, 1])
+        add(htmltext._a(*(rng.randint(2, 15) for _ in range(3))), [0] * 3)
+        if rng.random() < 0.5:
+            add(htmltext._d(rng.randint(3, 14)), [0])
+        yield from zip(htmltext.features(htmltext.candidates(html)), labels, strict=True)
+
+
+def test_the_tree_decides_by_neighbours():
+    """Words and link density of neighbours are split on, and without them held-out pages are judged clearly worse."""
+    tree = htmltext.train()
+    used = splits(tree)
+    assert len({f for f in used if "before" in f or "after" in f}) >= 2 and any("link density" in f for f in used)
+    rows = list(held_out_blocks(1))
+    right = sum(htmltext.verdict(tree, x) == bool(y) for x, y in rows) / len(rows)
+    alone = lambda x: (x[0], x[1], 0.0, 0.0, 0.0, 0.0, x[6], x[7])
+    labelled = []
+    for html, labels in (*htmltext.LABELLED, *htmltext.composed()):
+        labelled += [(alone(x), int(y)) for x, y in zip(htmltext.features(htmltext.candidates(html)), labels.replace(" ", ""), strict=True)]
+    blind = htmltext.grow(labelled)
+    worse = sum(htmltext.verdict(blind, alone(x)) == bool(y) for x, y in rows) / len(rows)
+    print(sorted(used), right, worse)
+    assert right >= 0.95 and worse <= right - 0.03
+
+
+def test_pages_without_telling_names():
+    tree = htmltext.train()
+    menu = "<div><a href=/1>Home</a> <a href=/2>World</a></div><div><a href=/3>Sports</a></div>"
+    page = f"<div>{menu}</div><div><div>{P} {P}</div><div>A short caption</div><div>{P} {P}</div></div><div><a href=/4>Next story</a></div><div><a href=/5>And another</a></div><div>All rights ours</div>"
+    assert htmltext.main_text(page, tree) == f"{P} {P} A short caption {P} {P}"
+
+
+def test_words_of_links_are_counted_after_decoding():
+    (block,) = htmltext.blocks("<p><a href=x>a&nbsp;b</a><a href=y>c</a> d</p>")
+    assert block[:3] == ("a bc d", 3, 3)
+
+
 def test_long_pages_are_read_whole():
     html = "<article>" + f"<p>{P}</p>" * 20_000 + "</article>"
     assert htmltext.main_text(html, htmltext.train()) == " ".join([P] * 20_000)
