@@ -51,6 +51,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the first of name_1, name_2, ... that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
 def discard(*frames: DataFrame) -> None:
     """Removes tables of materialize() that no later step reads."""
     for df in frames:

@@ -10,12 +10,13 @@ stay, output columns replace those of the same name.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, unused
 
 #: Fixed values of the production filter.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -91,19 +92,32 @@ def url_filter(
     """pages plus host, path, rule (null if none fits) and verdict (allow or block)."""
     ship(pages.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def bad(urls):
-        import pandas as pd
-
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from stratum.llm.urlfilter import build, rejected
 
-        return pd.Series(rejected(urls.tolist(), build(strict, soft), soft_limit), dtype=bool)
+        automaton = build(strict, soft)  # once a task
+        for urls in batches:
+            yield pd.Series(rejected(urls.tolist(), automaton, soft_limit), dtype=bool)
 
-    df = pages.withColumn("_u_url", F.col(url))
-    df = df.withColumn("_u_bad", bad(F.coalesce(F.col("_u_url"), F.lit(""))))
-    df = df.withColumns({"host": host(F.col("_u_url")), "path": path(F.col("_u_url"))})
+    bad = F.pandas_udf(judge, "boolean")
+    asked, found = unused(pages, "_u_url"), unused(pages, "_u_bad")
+    df = pages.withColumn(asked, F.col(url))
+    df = df.withColumn(found, bad(F.coalesce(F.col(asked), F.lit(""))))
+    df = df.withColumns({"host": host(F.col(asked)), "path": path(F.col(asked))})
     df = df.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
-    verdict = F.when(F.col("_u_bad"), F.lit("block")).otherwise(F.lit("allow"))
+    verdict = F.when(F.col(found), F.lit("block")).otherwise(F.lit("allow"))
     for rule, what in rules:
         verdict = F.when(F.col("rule") == rule, F.lit(what)).otherwise(verdict)
-    return df.withColumn("verdict", verdict).drop("_u_url", "_u_bad")
+    return df.withColumn("verdict", verdict).drop(asked, found)
+
+
+def vocabulary(terms: DataFrame, most: int = 1_000_000) -> tuple[list[str], list[str]]:
+    """(strict, soft) terms of a table (term, strict), A-Z lowered; more than ``most`` rows are an error, none are left out.
+
+    A term given both ways is strict; null and empty terms and a null mark (soft) are allowed.
+    """
+    rows = terms.select(F.translate("term", _UPPER, _LOWER).alias("term"), F.coalesce("strict", F.lit(False)).alias("strict")).filter("term != ''")
+    found = rows.groupBy("term").agg(F.max("strict").alias("strict")).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} terms")
+    return sorted(r["term"] for r in found if r["strict"]), sorted(r["term"] for r in found if not r["strict"])

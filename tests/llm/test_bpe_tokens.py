@@ -106,3 +106,13 @@ def test_every_token_is_the_encoding_of_its_own_text(tmp_path):
     spec["model"]["merges"] = spec["model"]["merges"][1:]
     (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
     assert bpe.unreachable(str(tmp_path / "t.json"))
+
+
+@pytest.mark.parametrize("alphabet", ["абвгд ежз, и. ", "αβγδ ε'ζ η 12 ", "中文字，很长。没有空格", "한국 어 텍스트 ", "²³ 1 2²3 Ⅷ x ", "a\u0301 e\u0308, "])
+def test_long_texts_of_any_script_are_cut_where_nothing_changes(alphabet):
+    rng = random.Random(alphabet)
+    text = "".join(rng.choice(alphabet) for _ in range(6000))
+    parts = tokencount.safe_parts(text, 500)
+    assert len(parts) > 5 and "".join(parts) == text
+    whole = Tokenizer.from_file(BYTE)
+    assert sum(len(whole.encode(p, add_special_tokens=False).ids) for p in parts) == len(whole.encode(text, add_special_tokens=False).ids)

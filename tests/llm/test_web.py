@@ -87,6 +87,17 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert (r["host"], r["path"], r["rule"], r["verdict"], r["text"]) == (host, path, rule, verdict, "t")
 
 
+def test_columns_that_clash_and_a_vocabulary_table(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/Jetzt-xyz", "x", "y")], "page_id long, url string, _u_url string, _U_bad string")
+    strict, soft = urlfilter.vocabulary(spark.createDataFrame([("XYZ", True), ("xyz", False), ("jetzt", None), (None, True), ("", True)], "term string, strict boolean"))
+    assert (strict, soft) == (["xyz"], ["jetzt"])
+    r = urlfilter.url_filter(pages, strict=strict, soft=soft).first()
+    assert (r["_u_url"], r["_U_bad"], r["verdict"]) == ("x", "y", "block")
+    assert urlfilter.url_filter(pages, strict=[], soft=soft).first()["verdict"] == "allow"
+    with pytest.raises(ValueError):
+        urlfilter.vocabulary(spark.createDataFrame([("a", True), ("b", True)], "term string, strict boolean"), 1)
+
+
 def test_every_url_gets_a_verdict(spark):
     pages = spark.createDataFrame(page_rows(), PAGES)
     assert urlfilter.url_filter(pages).count() == pages.count() and urlfilter.url_filter(pages.limit(0)).count() == 0
