@@ -261,8 +261,29 @@ def saturating_sub(a: Column, b: Column) -> Column:
     return F.greatest(a - b, F.lit(0).cast("long"))
 
 
+#: Counters, rates and range bounds are unsigned 64-bit numbers.
+MAX_BOUND = (1 << 64) - 1
+
+
+def saturating_mul(a: Column, by: int) -> Column:
+    """A product that stops at the largest unsigned 64-bit number."""
+    return F.least(a.cast("decimal(20,0)") * F.lit(by), F.lit(str(MAX_BOUND)).cast("decimal(38,0)"))
+
+
+def whole(a: Column, b: Column) -> Column:
+    """Whole-number quotient."""
+    return F.call_function("div", a, b)
+
+
 def throughput(bytes: Column, micros: Column) -> Column:
-    return F.when(micros <= 0, F.lit(0).cast("long")).otherwise(F.floor(bytes.cast("decimal(38,0)") * 1_000_000 / micros).cast("long"))
+    """Bytes a second; the product saturates, and no time is no rate."""
+    return F.when(micros <= 0, F.lit(0).cast("long")).otherwise(whole(saturating_mul(bytes, 1_000_000), micros))
+
+
+def scaling_per_mille(aggregate: Column, single: Column, concurrency: Column) -> Column:
+    """What a thousandth of the ideal speed-up a concurrent run reaches; 0 if any of the three is."""
+    some = (aggregate > 0) & (single > 0) & (concurrency > 0)
+    return F.when(some, whole(whole(saturating_mul(aggregate, 1000), single), concurrency)).otherwise(F.lit(0).cast("long"))
 
 
 def per_mille(part: Column, whole: Column) -> Column:
@@ -278,13 +299,28 @@ def adaptive_default(cores: Column, factor: int, low: int, high: int) -> Column:
 
 
 def http_range(header: Column, length: Column) -> Column:
-    """struct(start, end, error) of a bytes=a-b header against a length: one range, open end, end clamped to the last byte."""
-    m = r"\Abytes=(\d{1,18})-(\d{0,18})\z"
-    first, last = F.regexp_extract(header, m, 1), F.regexp_extract(header, m, 2)
-    start = F.when(first != "", first.cast("long"))
-    end = F.when(last != "", last.cast("long")).otherwise(length - 1)
-    error = F.when(header.isNull() | start.isNull(), F.lit("malformed")).when(start >= length, F.lit("unsatisfiable")).when(end < start, F.lit("malformed"))
-    return F.struct(F.when(error.isNull(), start).alias("start"), F.when(error.isNull(), F.least(end, length - 1)).alias("end"), error.alias("error"))
+    """struct(start, end, error) of a bytes=a-b header against a length: one range, open end, end clamped to the last byte.
+
+    Errors, the first that holds: unit (no bytes= before it, or null), syntax (no hyphen, several ranges, no start), number (a bound that is
+    no unsigned 64-bit number), unsatisfiable (the start is past the last byte), syntax again (the end is before the start).
+    """
+    rest = F.substring(header, 7, 1 << 20)
+    at = F.instr(rest, "-")
+    first, last = F.when(at > 0, F.substring(rest, F.lit(1), at - 1)), F.substring(rest, at + 1, F.lit(1 << 20))
+    number = lambda x: F.when(x.rlike(r"\A\+?0*\d{1,20}\z"), x.try_cast("decimal(38,0)"))
+    bound = lambda x: F.when(number(x) <= F.lit(str(MAX_BOUND)).cast("decimal(38,0)"), number(x))
+    start, top = bound(first), (length - 1).cast("decimal(38,0)")
+    end = F.when(last == "", top).otherwise(bound(last))
+    error = (
+        F.when(~F.coalesce(header.startswith("bytes="), F.lit(False)), F.lit("unit"))
+        .when((at == 0) | rest.contains(",") | F.coalesce(first == "", F.lit(False)), F.lit("syntax"))
+        .when(start.isNull(), F.lit("number"))
+        .when(start > top, F.lit("unsatisfiable"))
+        .when(end.isNull(), F.lit("number"))
+        .when(end < start, F.lit("syntax"))
+    )
+    ok = error.isNull()
+    return F.struct(F.when(ok, start).cast("long").alias("start"), F.when(ok, F.least(end, top)).cast("long").alias("end"), error.alias("error"))
 
 
 def content_range(header: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import little_endian_hex
+from ..functions.expr import classify_key, little_endian_hex
 from ..functions.hashing import HASHERS
+from .state import one_row
 
 
 def chunk_content(files: DataFrame, chunk_size: int = 1024, content: str = "content") -> DataFrame:
@@ -42,11 +43,14 @@ def first_owners(chunks: DataFrame, *order: str) -> DataFrame:
 
 def upload_accounting(chunks: DataFrame, by: str, order: tuple[str, ...], existing: DataFrame | None = None) -> DataFrame:
     """Per ``by``: chunks, inserted, reused, total_bytes, stored_bytes. A repeat, also inside one file, counts as reused."""
-    totals = chunks.groupBy(by).agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").alias("total_bytes"))
-    new = first_owners(chunks.select(by, *order, "length", "hash"), *order)
+    # Both aggregates read the exchange of ``per``, so the chunks are scanned and hashed once.
+    per = chunks.groupBy("hash", by).agg(F.count(F.lit(1)).alias("_n"), F.sum("length").alias("_bytes"), F.min(F.struct(*[c for c in order if c != by], "length")).alias("_first"))
+    head = F.struct(by, "_first") if by == order[0] else F.struct("_first", by)
+    new = per.groupBy("hash").agg(F.min(head).alias("_o")).select("hash", F.col(f"_o.{by}").alias(by), F.col("_o._first.length").alias("length"))
     if existing is not None:
         new = new.join(existing.select("hash"), "hash", "left_anti")
     stored = new.groupBy(by).agg(F.count(F.lit(1)).alias("inserted"), F.sum("length").alias("stored_bytes"))
+    totals = per.groupBy(by).agg(F.sum("_n").alias("chunks"), F.sum("_bytes").alias("total_bytes"))
     zero = F.lit(0).cast("long")
     joined = totals.join(stored, by, "left").withColumn("inserted", F.coalesce("inserted", zero))
     return joined.select(by, "chunks", "inserted", (F.col("chunks") - F.col("inserted")).alias("reused"), "total_bytes", F.coalesce("stored_bytes", zero).alias("stored_bytes"))
@@ -60,6 +64,14 @@ def content_digest(terms: DataFrame, file: str, total: Column, chunk_size: int,
     return per_file.select(file, HASHERS[hasher](F.unhex(body)).alias("content_hash"))
 
 
+def storage_stats(objects: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: chunk objects and their bytes (other classes do not count), and latest records."""
+    zero = F.lit(0).cast("long")
+    is_chunk = classify_key(F.col("key"))["class"] == "chunk"
+    chunks = objects.filter(is_chunk).agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("length"), zero).alias("chunk_bytes"))
+    return one_row([chunks, records.filter("record_kind = 'latest'").agg(F.count(F.lit(1)).alias("files"))])
+
+
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """One row: stored chunks, their bytes, and the references to them."""
     unique = chunks.groupBy("hash").agg(F.min("length").alias("length"), F.count(F.lit(1)).alias("refs"))

@@ -7,6 +7,7 @@ objects: key, length, body_hash (nullable: not hashed). members: xorb_hash, idx,
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import chunk_key, future, hold_active, valid_file_id, valid_hash, valid_scope_part, xorb_key
 from .plan import validate
+from .state import one_row
 
 MAX_RECORD_BYTES = 1 << 30
 PROVIDER_TIMES = ("last_access_changed_at", "last_revision_pushed_at", "last_cache_invalidated_at", "last_authorization_rechecked_at", "last_drift_checked_at")
@@ -134,6 +136,48 @@ def lifecycle_issues(quarantine: DataFrame, holds: DataFrame, deliveries: DataFr
     )
 
 
+@dataclass
+class Fsck:
+    issues: DataFrame
+    report: DataFrame
+
+
+def fsck(records: DataFrame, terms: DataFrame, objects: DataFrame, members: DataFrame, mappings: DataFrame, shard_members: DataFrame, unreadable_shards: DataFrame, reconstructions: DataFrame, stored: DataFrame, quarantine: DataFrame, holds: DataFrame, deliveries: DataFrame, states: DataFrame, reachable: DataFrame, now: int, computed: DataFrame | None = None) -> Fsck:
+    """The whole integrity check: all issues, and one row of what was scanned and how many were found.
+
+    A record's terms are checked against objects only if its plan is sound, and latest rows against versions only if they are readable.
+    """
+    own = record_issues(records, computed)
+    unsound = own.filter(F.col("kind").isin("oversized_record_metadata", "invalid_record_json"))
+    readable = records.join(unsound.select(F.col("location").alias("record_key")), "record_key", "left_anti")
+    own_terms = terms.join(readable.select("record_key"), "record_key", "left_semi")
+    plans = plan_issues(readable, own_terms)
+    on = ["scope_key", "file_id", "content_hash"]
+    drift = version_issues(readable.filter("record_kind = 'latest'"), readable.filter("record_kind = 'version'"), on, ["total_bytes"], "record_key")
+    found = _union(
+        [
+            own,
+            plans,
+            term_issues(own_terms, plans, objects, members),
+            drift,
+            shard_issues(mappings, objects, shard_members, unreadable_shards),
+            reconstruction_issues(reconstructions, stored),
+            lifecycle_issues(quarantine, holds, deliveries, states, objects, reachable, now),
+        ]
+    )
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [
+        records.agg(*[F.coalesce(F.sum((F.col("record_kind") == k).cast("long")), F.lit(0)).alias(f"{k}_records") for k in ("latest", "version")]),
+        n(own_terms, "inspected_chunk_references"),
+        n(mappings, "inspected_dedupe_shard_mappings"),
+        n(reconstructions, "inspected_reconstructions"),
+        n(deliveries, "inspected_webhook_deliveries"),
+        n(states, "inspected_provider_repository_states"),
+        n(found, "issues"),
+    ]
+    return Fsck(found, one_row(parts))
+
+
 def report(issues: DataFrame) -> DataFrame:
     """Issues by kind."""
     return issues.groupBy("kind").agg(F.count(F.lit(1)).alias("issues"))

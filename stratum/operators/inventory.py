@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from .state import put_if_absent
 
 
+#: Fixed value: keys of a page.
+MAX_PAGE = 256
+
+
 def prefix_scan(objects: DataFrame, prefix: str) -> DataFrame:
     return objects.filter(F.col("key").startswith(prefix))
 
 
 def page(objects: DataFrame, prefix: str, start_after: str | None, limit: int) -> DataFrame:
     """Direct children of a prefix after a key, ascending: at most limit + 1 rows, the last one telling that more follow."""
+    if not 0 < limit <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} keys")
     rest = F.substring(F.col("key"), len(prefix) + 1, 1 << 20)
     children = prefix_scan(objects, prefix).filter((F.length(rest) > 0) & ~rest.contains("/"))
     if start_after is not None:

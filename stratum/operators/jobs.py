@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import CLAIM_RETENTION_SECONDS, chunk_key, classify_key, hold_active, hold_release, shard_key, xorb_key
+from ..functions.shipping import ship
 from . import chunking, fsck, plan, rebuild, repair
 from .state import copy_if_absent, put_if_absent, require_none, upsert
 
 
+#: Fixed values of the plan cache.
+CACHE_SECONDS, CACHE_ENTRIES = 30, 4096
+
+
 @dataclass
 class Ingest:
     chunks: DataFrame
@@ -20,16 +28,20 @@ class Ingest:
     report: DataFrame
 
 
-def ingest(files: DataFrame, objects: DataFrame, chunk_size: int, file: str = "file_id") -> Ingest:
-    """Chunk, hash, deduplicate, account and digest: files (file, content). objects: key, length, checksum."""
-    chunks = chunking.chunk_content(files.select(file, "content"), chunk_size)
+def ingest(files: DataFrame, objects: DataFrame, chunk_size: int, file: str = "file_id", hasher: str = "blake3") -> Ingest:
+    """Chunk, hash, deduplicate, account and digest: files (file, content). objects: key, length, checksum.
+
+    Chunks and contents are known by BLAKE3, or by SHA-256, which stays in the JVM.
+    """
+    cut = chunking.chunk_content if hasher == "sha256" else lambda f, n: chunking.chunk_content_with(f, hasher, n)
+    chunks = cut(files.select(file, "content"), chunk_size)
     new = chunking.first_owners(chunks.select(file, "idx", "length", "hash"), file, "idx").select(chunk_key(F.col("hash")).alias("key"), "length", F.col("hash").alias("checksum"))
     judged = put_if_absent(objects, new)
     require_none(judged.filter("outcome = 'conflict'"), "other bytes under a chunk's key")
     known = objects.select(F.col("checksum").alias("hash"))
-    report = chunking.upload_accounting(chunks.select(file, "idx", "length", "hash"), file, (file, "idx")[1:], known)
+    report = chunking.upload_accounting(chunks.select(file, "idx", "length", "hash"), file, (file, "idx"), known)
     sizes = files.select(file, F.octet_length("content").cast("long").alias("total_bytes"))
-    digest = chunking.content_digest(chunks, file, F.sum("length"), chunk_size)
+    digest = chunking.content_digest(chunks, file, F.sum("length"), chunk_size, hasher)
     return Ingest(chunks, judged.filter("outcome = 'inserted'").drop("outcome"), sizes.join(digest, file, "left"), report)
 
 
@@ -73,8 +85,11 @@ def digest_put(objects: DataFrame, uploads: DataFrame, canonical: Column, scoped
     return put_if_absent(objects, once), copy_if_absent(objects, uploads.withColumn("checksum", F.col("digest")), scoped)
 
 
-def set_holds(holds: DataFrame, new: DataFrame, now: int) -> DataFrame:
-    """new: object_key, reason, ttl (null: for ever)."""
+def set_holds(holds: DataFrame, new: DataFrame, now: int, order: str | None = None) -> DataFrame:
+    """new: object_key, reason, ttl (null: for ever), and the order column, by which the last hold of a key counts."""
+    if order:
+        rest = [c for c in new.columns if c not in ("object_key", order)]
+        new = new.groupBy("object_key").agg(F.max(F.struct(order, *rest)).alias("_v")).select("object_key", *[F.col(f"_v.{c}").alias(c) for c in rest])
     rows = new.select("object_key", "reason", F.lit(now).cast("long").alias("held_at"), hold_release(F.lit(now).cast("long"), F.col("ttl")).alias("release_after"))
     require_none(rows.filter(F.col("reason").isNull() | (F.trim("reason") == "")), "a hold needs a reason")
     return upsert(holds, rows, ["object_key"])
@@ -107,6 +122,21 @@ def evict(entries: DataFrame, now: int, capacity: int) -> DataFrame:
     return live.join(oldest, "key", "left_anti")
 
 
+def get_or_load(entries: DataFrame, asked: DataFrame, load: Callable[[DataFrame], DataFrame], now: int, ttl: int = CACHE_SECONDS, capacity: int = CACHE_ENTRIES, readable: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(answers: key, payload, hit; the next entries). entries: key, payload, expires_at; asked: key; load: keys to (key, payload).
+
+    An entry that expired or is not readable (default: null) is loaded again. Of what was loaded and what lives on, the ``capacity``
+    entries that expire last stay, ties by key.
+    """
+    ok = F.coalesce(F.col("payload").isNotNull() if readable is None else readable, F.lit(False))
+    live = entries.filter((F.col("expires_at") > now) & ok)
+    wanted = asked.select("key").distinct()
+    hits = wanted.join(live, "key").select("key", "payload", F.lit(True).alias("hit"))
+    loaded = load(wanted.join(live.select("key"), "key", "left_anti")).select("key", "payload")
+    after = live.select("key", "payload", "expires_at").unionByName(loaded.withColumn("expires_at", F.lit(now + ttl).cast("long")))
+    return hits.unionByName(loaded.withColumn("hit", F.lit(False))), after.orderBy(F.desc("expires_at"), "key").limit(capacity)
+
+
 def purge_sessions(sessions: DataFrame, now: int, ttl: int) -> DataFrame:
     return sessions.filter(F.col("touched_at") + ttl > now)
 
@@ -153,9 +183,67 @@ def averages(runs: DataFrame, by: str, *values: str) -> DataFrame:
 
 
 def running_state(parts: DataFrame, by: str) -> DataFrame:
-    """SHA-256 of bytes that came in parts (pos, content)."""
-    whole = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.hex("content").alias("h")))), lambda x: x["h"]), ""))
-    return parts.groupBy(by).agg(F.sha2(whole, 256).alias("sha256"))
+    """SHA-256 of bytes that came in parts (pos, content): parts stream through in order, no file is ever held as a whole."""
+    kind = parts.schema[by].dataType
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        now, state, done = None, None, []
+        for batch in batches:
+            for key, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if state is None or key != now:
+                    if state is not None:
+                        done.append((now, state.hexdigest()))
+                    now, state = key, hashlib.sha256()
+                state.update(content.as_buffer() or b"")
+            if done:
+                yield _pairs(done, batch.schema.field(0).type, by)
+                done = []
+        if state is not None:
+            yield _pairs([(now, state.hexdigest())], batch.schema.field(0).type, by)
+
+    ordered = parts.filter("content is not null").repartition(by).sortWithinPartitions(by, "pos").select(by, "content")
+    ship(parts.sparkSession)
+    return ordered.mapInArrow(digest, T.StructType([T.StructField(by, kind), T.StructField("sha256", T.StringType())]))
+
+
+def _pairs(rows: list[tuple], kind: pa.DataType, by: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows])], [by, "sha256"])
+
+
+def resume_digests(states: DataFrame, parts: DataFrame, by: str) -> DataFrame:
+    """(by, state, sha256): uploads that go on. states: by, state (null or no row: a new upload); parts: by, pos, content, all after the state.
+
+    One row a part in one task of an upload, in order; the state is stored between sessions. sha256 is the digest so far.
+    """
+    ship(parts.sparkSession)
+    kind = parts.schema[by].dataType
+    schema = T.StructType([T.StructField(by, kind), T.StructField("state", T.BinaryType()), T.StructField("sha256", T.StringType())])
+    begun = states.select(by, F.lit(None).cast(parts.schema["pos"].dataType).alias("pos"), F.col("state").alias("content"), F.lit(0).alias("_kind"))
+    rows = begun.unionByName(parts.select(by, "pos", "content", F.lit(1).alias("_kind"))).repartition(by).sortWithinPartitions(by, "_kind", "pos").select(by, "content", "_kind")
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from stratum.functions.hashing import ResumableSha256
+
+        now, held, started = None, None, False
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([now], own), pa.array([held.state()], pa.binary()), pa.array([held.hexdigest()])], [by, "state", "sha256"])
+
+        for batch in batches:
+            own = batch.schema.field(0).type
+            for key, content, what in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if not started or key != now:
+                    if started:
+                        yield row()
+                    now, held, started = key, ResumableSha256(content if what == 0 else None), True
+                if what == 1:
+                    held.update(content or b"")
+        if started:
+            yield row()
+
+    return rows.mapInArrow(go_on, schema)
 
 
 def packed_is_monotonic(members: DataFrame) -> DataFrame:

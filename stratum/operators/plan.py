@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import valid_hash
+from .state import require_none
+
+#: Bytes of a file that assemble() puts into one cell.
+MAX_CELL = 256 << 20
+#: Files of a batch request, terms or chunks of a shard, files or containers of a shard.
+MAX_BATCH_FILES, MAX_SHARD_TERMS, MAX_SHARD_FILES = 1024, 65_536, 16_384
 
 
 def validate(terms: DataFrame, files: DataFrame, file: str = "file_id", pos: str = "pos") -> DataFrame:
@@ -62,21 +68,42 @@ def fetch_info(terms: DataFrame, by: str = "file_id") -> DataFrame:
     return first.groupBy(by, "hash").agg(ordered.alias("entries"))
 
 
-def batch_fetch_info(terms: DataFrame, ids: DataFrame) -> DataFrame:
-    """(hash, entries) over requested files (file_id, position): entries of a hash follow request order and repeat across files. Unknown files are dropped."""
+def guard_size(rows: DataFrame, most: int, what: str) -> None:
+    """Fails beyond a documented limit; looks at one row more than it."""
+    if rows.limit(most + 1).count() > most:
+        require_none(rows.limit(1), f"more than {most} {what}")
+
+
+def batch_fetch_info(terms: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
+    """(hash, entries) over requested files (file_id, position): entries of a hash follow request order and repeat across files. Unknown files
+    are dropped. More than MAX_BATCH_FILES ids are an error; a batch job over a whole table gives its own bound."""
+    guard_size(ids, MAX_BATCH_FILES if most is None else most, "files of a batch request")
     per_file = fetch_info(terms).join(ids, "file_id")
     merged = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("position", "entries"))), lambda x: x["entries"]))
     return per_file.groupBy("hash").agg(merged.alias("entries"))
 
 
 def assemble(terms: DataFrame, objects: DataFrame, file: str = "file_id") -> DataFrame:
-    """(file, content): the bytes of each file; objects: hash, content. Fails on a missing object or a wrong length."""
+    """(file, content): the bytes of each file in one cell, for files that fit there; file_parts() has no such bound. objects: hash, content.
+    Fails on a missing object or a wrong length, and on a file of more than MAX_CELL bytes."""
+    large = terms.groupBy(file).agg(F.sum("length").alias("bytes")).filter(F.col("bytes") > MAX_CELL)
+    require_none(large, "file too large for one cell")
     joined = terms.join(objects, "hash", "left")
     part = F.when(F.octet_length("content") == F.col("length"), F.col("content"))
     checked = joined.withColumn("_part", F.coalesce(F.hex(part), F.raise_error(F.concat(F.lit("missing or short object "), F.col("hash"))).cast("string")))
     return checked.groupBy(file).agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_part"))), lambda x: x["_part"]), "")).alias("content"))
 
 
+def file_parts(terms: DataFrame, objects: DataFrame, file: str = "file_id") -> DataFrame:
+    """(file, pos, content): the bytes of files part by part, dealt by file and position and in order there, so that no file has to fit
+    into a row or a task. objects: hash, content. Fails on a missing object or a wrong length."""
+    joined = terms.select(file, "pos", "hash", "length").join(objects.select("hash", "content"), "hash", "left")
+    whole = F.octet_length("content") == F.col("length")
+    part = F.when(whole, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("missing or short object "), F.col("hash"))).cast("binary"))
+    n = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.select(file, "pos", part.alias("content")).repartitionByRange(n, file, "pos").sortWithinPartitions(file, "pos")
+
+
 def packed_ranges(segments: DataFrame, members: DataFrame) -> DataFrame:
     """segments (xorb_hash, range_start, range_end, ...) plus packed_start and packed_end from the members' packed ends."""
     ends = members.select("xorb_hash", "idx", F.col("packed_end").alias("_end"))

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BATCH = 1024
+from .state import require_none
+
+#: Objects of a batch, tags of a page.
+MAX_BATCH, MAX_TAGS = 1024, 128
 
 
 def lfs_batch(requested: DataFrame, objects: DataFrame, operation: str) -> DataFrame:
-    """requested (oid, size) plus action: download or missing, upload or skip. objects: oid."""
+    """requested (oid, size) plus action: download or missing, upload or skip. objects: oid.
+
+    With a column ``batch`` the requests of many clients are judged at once; a batch of more than MAX_BATCH objects is an error.
+    """
     if operation not in ("download", "upload"):
         raise ValueError(operation)
+    if "batch" in requested.columns:
+        require_none(requested.groupBy("batch").count().filter(F.col("count") > MAX_BATCH), f"more than {MAX_BATCH} objects")
     have = objects.select("oid").distinct().withColumn("_there", F.lit(True))
     yes, no = ("download", "missing") if operation == "download" else ("skip", "upload")
     return requested.join(have, "oid", "left").withColumn("action", F.when(F.col("_there"), F.lit(yes)).otherwise(F.lit(no))).drop("_there")
@@ -24,6 +32,8 @@ def resolve_tags(tags: DataFrame, manifests: DataFrame) -> DataFrame:
 
 def tag_page(tags: DataFrame, repository: str, last: str | None, limit: int) -> DataFrame:
     """Distinct tags after ``last``, ascending, one more than the limit if more follow."""
+    if not 0 < limit <= MAX_TAGS:
+        raise ValueError(f"a page has 1 to {MAX_TAGS} tags")
     own = tags.filter(F.col("repository") == repository)
     if last is not None:
         own = own.filter(F.col("tag") > last)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import valid_file_id, valid_hash, valid_scope_part
-from .state import one_row, require_none
+from .state import one_row
 
 
 def heads(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -72,9 +72,3 @@ def rebuild(candidates: DataFrame, latest: DataFrame, shard_members: DataFrame,
         parts.append(n(df, a, name))
     parts.append(stale.agg(F.count(F.lit(1)).alias("removed_reconstructions")))
     return RebuildResult(desired, chosen, stale, issues, one_row(parts))
-
-
-def guard_size(rows: DataFrame, most: int, what: str) -> None:
-    """Fails beyond a documented limit; looks at one row more than it."""
-    if rows.limit(most + 1).count() > most:
-        require_none(rows.limit(1), f"more than {most} {what}")

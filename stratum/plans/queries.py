@@ -467,7 +467,7 @@ def backup_counts(spark, d):
 
 @query(
     """WITH r AS (SELECT o_orderkey AS id, o_orderkey % 13 AS a, o_orderkey % 17 AS b, 12 AS len FROM orders)
-SELECT id, CASE WHEN a >= len OR b < a THEN NULL ELSE a END AS start, CASE WHEN a >= len OR b < a THEN NULL ELSE least(b, len - 1) END AS "end", CASE WHEN a >= len THEN 'unsatisfiable' WHEN b < a THEN 'malformed' END AS error FROM r"""
+SELECT id, CASE WHEN a >= len OR b < a THEN NULL ELSE a END AS start, CASE WHEN a >= len OR b < a THEN NULL ELSE least(b, len - 1) END AS "end", CASE WHEN a >= len THEN 'unsatisfiable' WHEN b < a THEN 'syntax' END AS error FROM r"""
 )
 def http_ranges(spark, d):
     k = F.col("o_orderkey")

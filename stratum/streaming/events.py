@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import DELETION_HOLD_SECONDS, branch_of, json_text, owner_and_name, reconciled_at
 from ..operators.state import upsert
+from ..sources.tables import current_snapshot, write_snapshot
 
 CLAIM = ["provider", "owner", "repo", "delivery_id"]
 REPOSITORY = ["provider", "owner", "repo"]
@@ -102,7 +104,8 @@ def deleted_repository(records: DataFrame, terms: DataFrame, deleted: DataFrame,
     keys = hashes.select(F.explode(F.array(*key(F.col("hash")))).alias("object_key")).distinct()
     holds = keys.select("object_key", F.lit("repository deleted").alias("reason"), F.lit(now).cast("long").alias("held_at"), F.lit(now + DELETION_HOLD_SECONDS).cast("long").alias("release_after"))
     impact = gone.groupBy(*REPOSITORY).agg(F.sum(F.when(F.col("record_kind") == "version", 1).otherwise(0)).alias("versions"))
-    impact = impact.join(hashes.groupBy(*REPOSITORY).agg(F.count(F.lit(1)).alias("chunks")), REPOSITORY, "left").withColumn("holds", F.col("chunks") * len(key(F.lit(""))))
+    impact = impact.join(hashes.groupBy(*REPOSITORY).agg(F.count(F.lit(1)).alias("chunks")), REPOSITORY, "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    impact = impact.withColumn("holds", F.col("chunks") * len(key(F.lit(""))))
     return {"records": records.join(deleted.select(*REPOSITORY).distinct(), REPOSITORY, "left_anti"), "holds": holds, "impact": impact}
 
 
@@ -143,5 +146,27 @@ def run_state(events: DataFrame, read: Callable[[], DataFrame], read_claims: Cal
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def snapshot_store(spark, root: str, empty_state: DataFrame, empty_claims: DataFrame):
+    """(read, read_claims, write) for run_state(): state and claims are one snapshot with the number of its batch.
+
+    Readers follow the pointer, which moves last: a batch that fails leaves neither its claims nor its effects, and one that is
+    repeated after it was stored changes nothing.
+    """
+    numbered = "batch long"
+
+    def stored(name: str, empty: DataFrame) -> DataFrame:
+        try:
+            return spark.read.schema(empty.schema).parquet(f"{current_snapshot(spark, root)}/{name}")
+        except AnalysisException:  # nothing was stored yet
+            return empty
+
+    def write(state: DataFrame, claims: DataFrame, batch: int) -> None:
+        done = stored("batch", spark.createDataFrame([], numbered)).agg(F.max("batch")).collect()[0][0]
+        if done is None or done < batch:
+            write_snapshot({"state": state, "claims": claims, "batch": spark.createDataFrame([(batch,)], numbered)}, root)
+
+    return (lambda: stored("state", empty_state)), (lambda: stored("claims", empty_claims)), write
+
+
 def upsert_state(state: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(state, new, REPOSITORY)

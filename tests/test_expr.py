@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.functions import expr as X
-from stratum.functions.hashing import blake3, blake3_hex, signature_valid, hmac_sha256_hex
+from stratum.functions.hashing import ResumableSha256, blake3, blake3_hex, blake3_many, signature_valid
 
 
 def column(spark, values, make, kind="string"):
@@ -60,7 +60,9 @@ def test_key_classes(spark):
 
 def test_ranges(spark):
     got = column(spark, ["bytes=0-3", "bytes=2-", "bytes=2-99", "bytes=4-4", "bytes=3-2", "bytes=0-1,2-3", "items=0-1", None], lambda c: X.http_range(c, F.lit(4).cast("long")))
-    assert [tuple(g) for g in got] == [(0, 3, None), (2, 3, None), (2, 3, None), (None, None, "unsatisfiable"), (None, None, "malformed"), (None, None, "malformed"), (None, None, "malformed"), (None, None, "malformed")]
+    assert [tuple(g) for g in got] == [(0, 3, None), (2, 3, None), (2, 3, None), (None, None, "unsatisfiable"), (None, None, "syntax"), (None, None, "syntax"), (None, None, "unit"), (None, None, "unit")]
+    big = column(spark, ["bytes=1-18446744073709551615", "bytes=1-18446744073709551616", "bytes=9-x", "bytes=0-x", "bytes=-3", "bytes=", "bytes=x-1", "bytes=99999999999999999999-1"], lambda c: X.http_range(c, F.lit(4).cast("long")))
+    assert [tuple(g) for g in big] == [(1, 3, None), (None, None, "number"), (None, None, "unsatisfiable"), (None, None, "number"), (None, None, "syntax"), (None, None, "syntax"), (None, None, "number"), (None, None, "number")]
     got = column(spark, ["0-9", "bytes 5-6/10", "6-5", "x"], X.content_range)
     assert [tuple(g) for g in got] == [(0, 9), (5, 6), (None, None), (None, None)]
 
@@ -83,7 +85,7 @@ def test_lifecycle_boundaries(spark):
 
 def test_arithmetic(spark):
     row = spark.range(1).select(X.range_length(F.lit(2), F.lit(9)), X.range_length(F.lit(0), F.lit(2**63 - 1)), X.saturating_sub(F.lit(3).cast("long"), F.lit(5).cast("long")), X.throughput(F.lit(10), F.lit(0)), X.throughput(F.lit(2**62), F.lit(1_000_000)), X.transfer_permits(F.lit(0), 10, 4), X.transfer_permits(F.lit(95), 10, 4), X.adaptive_default(F.lit(8), 2, 64, 256)).first()
-    assert tuple(row) == (8, None, 0, 0, 2**62, 1, 4, 64)
+    assert tuple(row) == (8, None, 0, 0, (2**64 - 1) // 1_000_000, 1, 4, 64)
 
 
 def test_json_text_is_strict(spark):
@@ -108,6 +110,35 @@ def test_blake3_vectors(n):
 
 
 def test_blake3_and_signatures(spark):
-    df = spark.createDataFrame([(bytearray(b""), "sha256=" + hmac_sha256_hex(b"k", b"")), (None, None), (bytearray(b"x"), "bad")], "b binary, s string")
+    import hashlib
+    import hmac
+
+    signed = lambda secret, body: hmac.new(secret, body, hashlib.sha256).hexdigest()
+    for secret in (b"k", b"long" * 40):
+        cases = [(b"", "sha256=" + signed(secret, b""), True), (b"a\0\xff", signed(secret, b"a\0\xff").upper(), True), (b"x", "sha256=\xe9", False), (b"x", signed(secret, b"y"), False), (b"x", "", False), (None, "sha256=", False)]
+        rows = spark.createDataFrame([(b if b is None else bytearray(b), s, ok) for b, s, ok in cases], "b binary, s string, ok boolean")
+        assert rows.filter(signature_valid(F.col("b"), F.col("s"), secret) != F.col("ok")).count() == 0
+    df = spark.createDataFrame([(bytearray(b""), "sha256=" + signed(b"k", b"")), (None, None), (bytearray(b"x"), "bad")], "b binary, s string")
     rows = df.select(blake3(F.col("b")).alias("h"), signature_valid(F.col("b"), F.col("s"), b"k").alias("ok")).collect()
     assert [r["h"] for r in rows] == [VECTORS[0], None, blake3_hex(b"x")] and [r["ok"] for r in rows] == [True, False, False]
+
+
+def test_many_blake3_values_at_once():
+    values = [bytes(i % 251 for i in range(n)) for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 5000, 7168, 8193, 100_000)]
+    assert blake3_many(values) == [blake3_hex(v) for v in values]
+
+
+def test_a_digest_goes_on_from_its_stored_state():
+    import hashlib
+
+    data, digest = bytes(i % 256 for i in range(1000)), ResumableSha256()
+    for at in range(0, 1000, 77):
+        digest = ResumableSha256(digest.update(data[at : at + 77]).state())
+    assert digest.hexdigest() == hashlib.sha256(data).hexdigest()
+    assert ResumableSha256().hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_rates(spark):
+    rows = spark.createDataFrame([(7, 2), (1 << 62, 3), (5, 0), (-1, 1)], "a long, b long")
+    got = rows.select(X.throughput(F.col("a"), F.col("b")).alias("t"), X.scaling_per_mille(F.col("a"), F.lit(2), F.col("b")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [(3_500_000, 1750), (X.MAX_BOUND // 3, X.MAX_BOUND // 6), (0, 0), (-1_000_000, 0)]

@@ -313,8 +313,16 @@ def test_composite_jobs(spark, tmp_path):
     files = frame(spark, [("f", bytearray(b"aaaabbbbaaaa")), ("g", bytearray(b"bbbb"))], "file_id string, content binary")
     empty = spark.createDataFrame([], tables.SCHEMAS["objects"])
     out = jobs.ingest(files, empty, 4)
-    assert sorted(r["checksum"] for r in out.objects.collect()) == sorted([sha(b"aaaa"), sha(b"bbbb")])
+    from stratum.functions.hashing import blake3_hex
+
+    assert sorted(r["checksum"] for r in out.objects.collect()) == sorted([blake3_hex(b"aaaa"), blake3_hex(b"bbbb")])
     assert jobs.ingest(files, out.objects, 4).objects.count() == 0
+    body = b"".join(blake3_hex(c).encode() + at.to_bytes(8, "little") + (4).to_bytes(8, "little") for at, c in ((0, b"aaaa"), (4, b"bbbb"), (8, b"aaaa")))
+    digest = blake3_hex((12).to_bytes(8, "little") + (4).to_bytes(8, "little") + body)
+    assert {r["file_id"]: r["content_hash"] for r in out.records.collect()}["f"] == digest
+    plain = jobs.ingest(files, empty, 4, hasher="sha256")
+    assert sorted(r["checksum"] for r in plain.objects.collect()) == sorted([sha(b"aaaa"), sha(b"bbbb")])
+    assert sorted(map(tuple, plain.report.collect())) == sorted(map(tuple, out.report.collect()))
     tables.black_hole(out.chunks)
     members = frame(spark, [("x", 0, 0, 10, 0, 16), ("x", 1, 10, 25, 16, 32)], "xorb_hash string, idx long, packed_start long, packed_end long, unpacked_start long, unpacked_end long")
     assert jobs.packed_is_monotonic(members).count() == 0
@@ -350,3 +358,97 @@ def test_claims_of_a_stream(spark, tmp_path):
         sink = str(tmp_path / name)
         ev.claims_stream(source, time).writeStream.format("parquet").option("path", sink).option("checkpointLocation", sink + "-ck").trigger(availableNow=True).start().awaitTermination()
         assert spark.read.parquet(sink).count() == 7
+
+
+def test_repeats_in_one_batch(spark, tmp_path):
+    """What a store with one writer at a time would have refused or ordered is refused or ordered in a batch."""
+    O, R = "key string, length long, checksum string", "record_kind string, scope_key string, file_id string, content_hash string, body string"
+    empty = spark.createDataFrame([], O)
+    put = state.put_if_absent(empty, frame(spark, [("a", 1, "x"), ("a", 1, "y"), ("b", 1, "x"), ("b", 1, "x"), ("c", 1, None), ("c", 2, None)], O))
+    assert {r["key"]: r["outcome"] for r in put.collect()} == {"a": "conflict", "b": "inserted", "c": "conflict"}
+    with pytest.raises(state.Violation):
+        state.upsert(empty, frame(spark, [("a", 1, "x"), ("a", 2, "x")], O), ["key"])
+    new = frame(spark, [("s", "f", "h1", "one", 1), ("s", "f", "h2", "two", 3), ("s", "f", "h3", "three", 2), ("s", "f", "h2", "two", 2)], "scope_key string, file_id string, content_hash string, body string, at long")
+    old = frame(spark, [("latest", "s", "f", "h0", "zero"), ("version", "s", "f", "h0", "zero"), ("latest", "s", "g", "h9", "nine")], R)
+    after = sorted(tuple(r) for r in state.commit_versions(old, new, "at").select("record_kind", "file_id", "content_hash", "body").collect())
+    assert after == [("latest", "f", "h2", "two"), ("latest", "g", "h9", "nine"), ("version", "f", "h0", "zero"), ("version", "f", "h1", "one"), ("version", "f", "h2", "two"), ("version", "f", "h3", "three")]
+    with pytest.raises(state.Violation):
+        state.commit_versions(old, new.drop("at"))
+
+
+def test_hard_caps(spark):
+    ids = spark.range(1025).select(F.col("id").alias("file_id"), F.col("id").alias("position"))
+    with pytest.raises(state.Violation):
+        plan.batch_fetch_info(spark.createDataFrame([], "file_id long, hash string, pos long, range_start long, range_end long, packed_start long, packed_end long"), ids)
+    objects = spark.range(1025).select(F.lit("b").alias("batch"), F.col("id").alias("oid"))
+    with pytest.raises(state.Violation):
+        protocols.lfs_batch(objects, objects, "download")
+    assert protocols.lfs_batch(objects.limit(1024), objects, "download").count() == 1024
+    for call in (lambda: protocols.tag_page(objects, "r", None, 129), lambda: inventory.page(objects, "", None, 257)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_cache_loads_what_is_missing(spark):
+    from stratum.operators import jobs
+
+    E = "key string, payload string, expires_at long"
+    entries = frame(spark, [("a", "old", 50), ("b", "late", 5), ("c", None, 50), ("d", "d", 40)], E)
+    load = lambda k: k.select("key", F.concat(F.lit("new "), "key").alias("payload"))
+    answers, after = jobs.get_or_load(entries, frame(spark, [(k,) for k in "abcea"], "key string"), load, 10, capacity=4)
+    assert sorted(map(tuple, answers.collect())) == [("a", "old", True), ("b", "new b", False), ("c", "new c", False), ("e", "new e", False)]
+    assert sorted((r["key"], r["expires_at"]) for r in after.collect()) == [("a", 50), ("b", 40), ("c", 40), ("d", 40)]
+
+
+def test_large_files_stay_in_parts(spark, monkeypatch):
+    from stratum.operators import jobs
+
+    monkeypatch.setattr(plan, "MAX_CELL", 6)
+    terms = frame(spark, [("f", 0, sha(b"aaaa"), 4), ("f", 1, sha(b"bb"), 2), ("f", 2, sha(b"aaaa"), 4), ("g", 0, sha(b"bb"), 2)], "file_id string, pos long, hash string, length long")
+    objects = frame(spark, [(sha(b"aaaa"), bytearray(b"aaaa")), (sha(b"bb"), bytearray(b"bb"))], "hash string, content binary")
+    with pytest.raises(state.Violation):
+        plan.assemble(terms, objects)
+    parts = plan.file_parts(terms, objects)
+    assert sorted((r["file_id"], r["pos"], bytes(r["content"])) for r in parts.collect()) == [("f", 0, b"aaaa"), ("f", 1, b"bb"), ("f", 2, b"aaaa"), ("g", 0, b"bb")]
+    assert {r["file_id"]: r["sha256"] for r in jobs.running_state(parts, "file_id").collect()} == {"f": sha(b"aaaabbaaaa"), "g": sha(b"bb")}
+    with pytest.raises(Exception, match="missing or short object"):
+        plan.file_parts(terms, objects.limit(1)).collect()
+
+
+def test_digests_go_on_in_the_next_session(spark):
+    from stratum.operators import jobs
+
+    P = "id string, pos long, content binary"
+    none = spark.createDataFrame([], "id string, state binary")
+    first = jobs.resume_digests(none, frame(spark, [("a", 0, bytearray(b"x" * 100)), ("a", 1, bytearray(b"y")), ("b", 0, bytearray(b""))], P), "id")
+    kept = spark.createDataFrame([tuple(r) for r in first.select("id", "state").collect()], "id string, state binary")
+    last = jobs.resume_digests(kept, frame(spark, [("a", 2, bytearray(b"z" * 70)), ("c", 0, bytearray(b"c"))], P), "id")
+    assert {r["id"]: r["sha256"] for r in last.collect()} == {"a": sha(b"x" * 100 + b"y" + b"z" * 70), "b": sha(b""), "c": sha(b"c")}
+
+
+def test_state_and_claims_are_stored_together(spark, tmp_path):
+    """A batch that fails between claim and apply leaves nothing, and one that comes again changes nothing."""
+    E = "provider string, owner string, repo string, delivery_id string, arrival long, at long, kind string, revision string"
+    state_, claims = (spark.createDataFrame([], s) for s in ("provider string, owner string, repo string, last_access_changed_at long, last_revision_pushed_at long, last_pushed_revision string", "provider string, owner string, repo string, delivery_id string, processed_at long"))
+    read, read_claims, write = ev.snapshot_store(spark, str(tmp_path / "s"), state_, claims)
+    frame(spark, [("p", "o", "r", "1", 1, 10, "revision_pushed", "a"), ("p", "o", "r", "1", 2, 11, "revision_pushed", "b")], E).coalesce(1).write.parquet(str(tmp_path / "in/0"))
+
+    def run(writer, name):
+        source = spark.readStream.schema(E).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        ev.run_state(source, read, read_claims, writer, str(tmp_path / name)).awaitTermination()
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        run(broken, "ck")
+    assert read().count() == 0 and read_claims().count() == 0
+    run(write, "ck")
+    run(write, "ck-again")
+    assert [r["last_pushed_revision"] for r in read().collect()] == ["a"] and read_claims().count() == 1
+
+
+def test_impact_of_a_repository_without_terms(spark):
+    records = frame(spark, [("k", "p", "o", "r", "version")], "record_key string, provider string, owner string, repo string, record_kind string")
+    out = ev.deleted_repository(records, spark.createDataFrame([], "record_key string, hash string"), records, 5, lambda h: [h, h])
+    assert tuple(out["impact"].select("versions", "chunks", "holds").first()) == (1, 0, 0)
