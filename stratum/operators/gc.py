@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import classify_key, hold_active, saturating_sub
-from .state import one_row, require_none
+from ..sources.tables import stored
+from .state import Violation, one_row, require_none
 
 
 def managed(objects: DataFrame) -> DataFrame:
@@ -58,12 +59,18 @@ def integrity_gate(quarantine: DataFrame, holds: DataFrame, objects: DataFrame,
     """Fails on a candidate or an active hold of a missing object, a changed length, or an active hold on a candidate."""
     have = objects.select(F.col("key").alias("object_key"), F.col("length").alias("_l"))
     seen = quarantine.join(have, "object_key", "left")
-    require_none(seen.filter("_l is null"), "quarantined object is missing")
-    require_none(seen.filter("_l <> observed_length"), "quarantined object changed its length")
-    require_none(quarantine.filter("delete_after < first_seen"), "quarantine candidate ends before it begins")
-    active = holds.filter(hold_active(F.col("release_after"), now)).select("object_key")
-    require_none(active.join(have, "object_key", "left_anti"), "held object is missing")
-    require_none(active.join(quarantine, "object_key", "left_semi"), "held object is quarantined")
+    fault = (
+        F.when(F.col("_l").isNull(), "quarantined object is missing")
+        .when(F.col("_l") != F.col("observed_length"), "quarantined object changed its length")
+        .when(F.col("delete_after") < F.col("first_seen"), "quarantine candidate ends before it begins")
+    )
+    active = holds.filter(hold_active(F.col("release_after"), now)).select("object_key").distinct()
+    held = active.join(have, "object_key", "left").join(quarantine.select("object_key", F.lit(True).alias("_q")), "object_key", "left")
+    held_fault = F.when(F.col("_l").isNull(), "held object is missing").when(F.col("_q"), "held object is quarantined")
+    # One job, which ends at the first row found.
+    bad = seen.select("object_key", fault.alias("fault")).unionByName(held.select("object_key", held_fault.alias("fault"))).filter("fault is not null")
+    if row := bad.limit(1).collect():
+        raise Violation(f"{row[0]['fault']}: {row[0]['object_key']}")
 
 
 def retention_report(quarantine: DataFrame, now: int) -> DataFrame:
@@ -89,7 +96,8 @@ def collect(objects: DataFrame, records: DataFrame, referenced: DataFrame, quara
     integrity_gate(quarantine, holds, objects, now)
     if do_mark or do_sweep:
         holds = holds.filter(hold_active(F.col("release_after"), now))
-    found = orphans(managed(objects), referenced, holds, now)
+    # Every part of the report reads the orphans: found once, kept in the shared folder.
+    found = stored(orphans(managed(objects), referenced, holds, now), "orphans")
     zero = F.lit(0).cast("long")
     when = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), zero)
     parts = [

@@ -185,24 +185,25 @@ def reconstruct_range_plan(spark, d):
 
 
 @query(
-    f"""WITH {CHUNKS}, first AS (SELECT source, hash, length, min(doc_id * 1000000 + idx) AS p FROM chunks GROUP BY 1, 2, 3)
-SELECT source, hash, count(*) AS entries, CAST(max(length) AS BIGINT) - 1 AS last_byte FROM first GROUP BY 1, 2"""
+    f"""WITH {CHUNKS}, first AS (SELECT source, hash, length, idx, min(doc_id * 1000000 + idx) AS p FROM chunks GROUP BY 1, 2, 3, 4)
+SELECT source, hash, count(*) AS entries, CAST(max(length) AS BIGINT) - 1 AS last_byte, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY p) AS in_order FROM first GROUP BY 1, 2"""
 )
 def fetch_entries_by_source(spark, d):
     z = F.lit(0).cast("long")
-    c = _chunks(spark, d).select("source", "hash", (F.col("doc_id") * 1_000_000 + F.col("idx")).alias("pos"), z.alias("range_start"), F.lit(1).cast("long").alias("range_end"), z.alias("packed_start"), F.col("length").alias("packed_end"))
+    c = _chunks(spark, d).select("source", "hash", (F.col("doc_id") * 1_000_000 + F.col("idx")).alias("pos"), F.col("idx").alias("range_start"), (F.col("idx") + 1).alias("range_end"), z.alias("packed_start"), F.col("length").alias("packed_end"))
     out = plan.fetch_info(c, "source")
-    return out.select("source", "hash", F.size("entries").cast("long").alias("entries"), F.array_max(F.transform("entries", lambda e: e["byte_end"])).alias("last_byte"))
+    in_order = F.array_join(F.transform("entries", lambda e: e["chunk_start"].cast("string")), ",")
+    return out.select("source", "hash", F.size("entries").cast("long").alias("entries"), F.array_max(F.transform("entries", lambda e: e["byte_end"])).alias("last_byte"), in_order.alias("in_order"))
 
 
-@query(
-    f"""WITH {CHUNKS}, per AS (SELECT DISTINCT doc_id, hash, length FROM chunks WHERE doc_id % 3 = 0) SELECT hash, count(*) AS entries FROM per GROUP BY hash"""
-)
+@query(f"WITH {CHUNKS} SELECT hash, count(*) AS entries, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY doc_id DESC, idx) AS in_order FROM chunks GROUP BY hash")
 def batch_reconstruction(spark, d):
+    """All documents in one request, the last id first."""
     z = F.lit(0).cast("long")
-    c = _chunks(spark, d).select(F.col("doc_id").alias("file_id"), "hash", F.col("idx").alias("pos"), z.alias("range_start"), F.lit(1).cast("long").alias("range_end"), z.alias("packed_start"), F.col("length").alias("packed_end"))
-    ids = _t(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("file_id"), F.col("doc_id").alias("position"))
-    return plan.batch_fetch_info(c, ids).select("hash", F.size("entries").cast("long").alias("entries"))
+    c = _chunks(spark, d).select(F.col("doc_id").alias("file_id"), "hash", F.col("idx").alias("pos"), F.col("idx").alias("range_start"), (F.col("idx") + 1).alias("range_end"), z.alias("packed_start"), F.col("length").alias("packed_end"))
+    ids = _t(spark, d, "documents").select(F.col("doc_id").alias("file_id"), (-F.col("doc_id")).alias("position"))
+    in_order = F.array_join(F.transform("entries", lambda e: e["chunk_start"].cast("string")), ",")
+    return plan.batch_fetch_info(c, ids, most=(1 << 31) - 2).select("hash", F.size("entries").cast("long").alias("entries"), in_order.alias("in_order"))
 
 
 @query("SELECT doc_id, sha256(encode(text)) AS content_hash FROM documents WHERE octet_length(encode(text)) > 0")
@@ -293,23 +294,26 @@ def quarantine_sweep(spark, d):
 
 
 @query(
-    f"""WITH {REF}, {INV}, o AS (SELECT i.* FROM inv i WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.key = i.key)),
-q AS (SELECT CAST(p_partkey AS VARCHAR) AS object_key, CAST(p_size AS BIGINT) AS observed_length, 1706745600 - 3600 * (p_partkey % 5) + 7200 AS delete_after FROM part WHERE p_partkey % 4 = 0),
-m AS (SELECT coalesce(q.object_key, o.key) AS object_key, coalesce(q.delete_after, 1706749200) AS delete_after, o.length, CASE WHEN o.key IS NULL THEN 'released' WHEN q.object_key IS NOT NULL THEN 'retained' ELSE 'new' END AS action FROM q FULL JOIN o ON o.key = q.object_key),
+    f"""WITH {REF}, {INV}, {HOLDS}, held AS (SELECT object_key FROM holds WHERE release_after IS NULL OR release_after > 1706745600), {ORPHANS},
+q AS (SELECT CAST(p_partkey AS VARCHAR) AS object_key, CAST(p_size AS BIGINT) AS observed_length, 1706745600 - 3600 * (p_partkey % 5) + 7200 AS delete_after FROM part WHERE p_partkey % 4 = 0 AND CAST(p_partkey AS VARCHAR) NOT IN (SELECT object_key FROM held)),
+m AS (SELECT coalesce(q.object_key, o.key) AS object_key, coalesce(q.delete_after, 1706749200) AS delete_after, o.length, CASE WHEN o.key IS NULL THEN 'released' WHEN q.object_key IS NOT NULL THEN 'retained' ELSE 'new' END AS action FROM q FULL JOIN orphans o ON o.key = q.object_key),
 s AS (SELECT *, action <> 'released' AND delete_after <= 1706745600 AS del FROM m)
-SELECT (SELECT count(*) FROM orders) AS scanned_records, (SELECT count(*) FROM refs) AS referenced_chunks, (SELECT count(*) FROM o) AS orphan_chunks, (SELECT CAST(sum(length) AS BIGINT) FROM o) AS orphan_bytes,
+SELECT (SELECT count(*) FROM orders) AS scanned_records, (SELECT count(*) FROM refs) AS referenced_chunks, (SELECT count(*) FROM orphans) AS orphan_chunks, (SELECT CAST(sum(length) AS BIGINT) FROM orphans) AS orphan_bytes, (SELECT count(*) FROM held) AS holds_left,
 count(*) FILTER (WHERE action = 'new') AS new_candidates, count(*) FILTER (WHERE action = 'retained') AS retained_candidates, count(*) FILTER (WHERE del) AS deleted_chunks, CAST(coalesce(sum(length) FILTER (WHERE del), 0) AS BIGINT) AS deleted_bytes,
 count(*) FILTER (WHERE action <> 'released' AND NOT del) AS active_candidates, count(*) FILTER (WHERE action = 'released' OR del) AS released_candidates FROM s"""
 )
 def gc_report(spark, d):
-    """Mark and sweep in one run; part keys stand for chunk keys, so every object is managed."""
+    """Mark and sweep in one run with all holds; part keys stand for chunk keys, so every object is managed."""
     inv = _inventory(spark, d)
     key = lambda c: X.chunk_key(F.sha2(F.col(c).cast("binary"), 256))
     objects = inv.withColumn("key", key("key"))
-    q = _quarantine(spark, d).join(inv.select(F.col("key").alias("object_key"), F.col("length").alias("observed_length_")), "object_key").withColumn("observed_length", F.col("observed_length_")).drop("observed_length_").withColumn("object_key", key("object_key"))
-    holds = _holds(spark, d).limit(0)
+    held = _holds(spark, d).filter(X.hold_active(F.col("release_after"), NOW))
+    q = _quarantine(spark, d).join(inv.select(F.col("key").alias("object_key"), F.col("length").alias("observed_length_")), "object_key").withColumn("observed_length", F.col("observed_length_")).drop("observed_length_")
+    q = q.join(held, "object_key", "left_anti").withColumn("object_key", key("object_key"))
+    holds = _holds(spark, d).withColumn("object_key", key("object_key"))
     records = _t(spark, d, "orders").select("o_orderkey")
-    return gc.collect(objects, records, _referenced(spark, d).withColumn("key", key("key")), q, holds, NOW, 3600, do_mark=True, do_sweep=True).report
+    out = gc.collect(objects, records, _referenced(spark, d).withColumn("key", key("key")), q, holds, NOW, 3600, do_mark=True, do_sweep=True)
+    return state.one_row([out.report, out.holds.agg(F.count(F.lit(1)).alias("holds_left"))])
 
 
 @query(f"WITH {QUARANTINE} SELECT *, greatest(delete_after - 1706745600, 0) AS seconds_until_delete FROM q")
@@ -323,21 +327,28 @@ def hold_activity(spark, d):
 
 
 @query(
-    f"""WITH {CHUNKS}, mem AS (SELECT source AS xorb_hash, row_number() OVER (PARTITION BY source ORDER BY doc_id, idx) - 1 AS idx, hash AS chunk_hash FROM chunks),
-v AS (SELECT hash AS chunk_hash FROM chunks WHERE doc_id % 5 = 0 UNION SELECT chunk_hash FROM mem WHERE xorb_hash IN ('src1', 'src2')),
-keys AS (SELECT substr(chunk_hash, 1, 2) || '/' || chunk_hash AS key FROM v UNION SELECT 'xorbs/default/sr/' || x || '.xorb' FROM (SELECT unnest(['src1', 'src2']) AS x) UNION SELECT 'shards/' || lang FROM chunks JOIN v ON v.chunk_hash = hash)
-SELECT key FROM keys"""
+    f"""WITH {CHUNKS}, mem AS (SELECT source AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id, idx) - 1 AS i, sha256(encode(hash || source)) AS h FROM chunks),
+st AS (SELECT DISTINCT hash AS h FROM chunks), inr AS (SELECT DISTINCT h FROM mem WHERE i >= 1 AND i < 4), allm AS (SELECT DISTINCT h FROM mem),
+base AS (SELECT substr(h, 1, 2) || '/' || h AS key FROM st UNION SELECT 'xorbs/default/' || substr(x, 1, 2) || '/' || x || '.xorb' FROM mem UNION SELECT 'xorbs/default/' || substr(h, 1, 2) || '/' || h || '.xorb' FROM st WHERE substr(h, 1, 1) IN ('0', '1')),
+ss AS (SELECT DISTINCT 'shards/' || lang AS key FROM chunks), sm AS (SELECT DISTINCT 'shards/m-' || x AS key FROM mem),
+k AS (SELECT unnest(['gc', 'repair', 'fsck']) AS variant, key FROM (SELECT key FROM base UNION SELECT key FROM ss) UNION SELECT unnest(['gc', 'repair']), substr(h, 1, 2) || '/' || h FROM allm UNION SELECT 'fsck', substr(h, 1, 2) || '/' || h FROM inr UNION SELECT 'gc', key FROM sm)
+SELECT variant, key FROM k"""
 )
 def reachable_keys(spark, d):
+    """All three definitions over the chunks of all documents and one container a source, of which chunks 1 to 3 are referenced."""
     from pyspark.sql import Window
 
     c = _chunks(spark, d)
-    members = c.select(F.col("source").alias("xorb_hash"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "idx")) - 1).cast("long").alias("idx"), F.col("hash").alias("chunk_hash"))
-    z = F.lit(0).cast("long")
-    stored = c.filter("doc_id % 5 = 0").select("hash", F.lit(True).alias("chunked"), z.alias("range_start"), F.lit(1).cast("long").alias("range_end"))
-    packed = spark.createDataFrame([("src1", False, 0, 4), ("src2", False, 1, 3)], "hash string, chunked boolean, range_start long, range_end long")
+    own = F.sha2(F.concat("hash", "source").cast("binary"), 256)
+    members = c.select(F.col("source").alias("xorb_hash"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "idx")) - 1).cast("long").alias("idx"), own.alias("chunk_hash"))
+    n = lambda x: F.lit(x).cast("long")
+    stored = c.select("hash", F.lit(True).alias("chunked"), n(0).alias("range_start"), n(1).alias("range_end"))
+    packed = c.select(F.col("source").alias("hash"), F.lit(False).alias("chunked"), n(1).alias("range_start"), n(4).alias("range_end")).distinct()
     mappings = c.select(F.col("hash").alias("chunk_hash"), F.concat(F.lit("shards/"), F.col("lang")).alias("shard_object_key"))
-    return reach.reachable_keys(stored.union(packed), members, mappings, spark.createDataFrame([], "key string"), "gc")
+    mappings = mappings.union(members.select("chunk_hash", F.concat(F.lit("shards/m-"), F.col("xorb_hash"))))
+    objects = c.filter("substr(hash, 1, 1) in ('0', '1')").select(X.xorb_key(F.col("hash")).alias("key")).distinct()
+    out = [reach.reachable_keys(stored.union(packed), members, mappings, objects, v).select(F.lit(v).alias("variant"), "key") for v in ("gc", "repair", "fsck")]
+    return out[0].union(out[1]).union(out[2])
 
 
 @query("SELECT 'missing_lines' AS kind, CAST(o_orderkey AS VARCHAR) AS location FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -394,16 +405,17 @@ def repo_state_fold(spark, d):
 
 @query(
     f"""WITH {EVENTS}, s AS (SELECT provider, owner, repo, max(secs) FILTER (WHERE kind = 'access_changed') AS a, max(secs) FILTER (WHERE kind = 'revision_pushed') AS r FROM ev GROUP BY 1, 2, 3),
-t AS (SELECT *, CASE WHEN CAST(repo AS BIGINT) % 3 = 0 THEN 1705968000 END AS c FROM s)
-SELECT provider, owner, repo, CAST(CASE WHEN greatest(coalesce(a, r), coalesce(r, a)) IS NULL OR c >= greatest(coalesce(a, r), coalesce(r, a)) THEN c ELSE 1706745600 END AS BIGINT) AS last_cache_invalidated_at FROM t"""
+t AS (SELECT *, CASE WHEN CAST(repo AS BIGINT) % 3 = 0 THEN 1705968000 END AS c, CASE WHEN CAST(repo AS BIGINT) % 4 = 0 THEN 1706400000 END AS z FROM s)
+SELECT provider, owner, repo, CAST(CASE WHEN greatest(coalesce(a, r), coalesce(r, a)) IS NULL OR c >= greatest(coalesce(a, r), coalesce(r, a)) THEN c ELSE 1706745600 END AS BIGINT) AS last_cache_invalidated_at,
+CAST(CASE WHEN a IS NULL OR z >= a THEN z ELSE 1706745600 END AS BIGINT) AS last_authorization_rechecked_at, CAST(CASE WHEN r IS NULL THEN NULL ELSE 1706745600 END AS BIGINT) AS last_drift_checked_at FROM t"""
 )
 def reconciled_states(spark, d):
     e = _deliveries(spark, d)
     own = lambda k: F.max(F.when(F.col("kind") == k, F.col("at")))
     s = e.groupBy(*ev.REPOSITORY).agg(own("access_changed").alias("last_access_changed_at"), own("revision_pushed").alias("last_revision_pushed_at"))
-    none = F.lit(None).cast("long")
-    s = s.withColumns({"last_cache_invalidated_at": F.when(F.col("repo").cast("long") % 3 == 0, F.lit(1_705_968_000)).cast("long"), "last_authorization_rechecked_at": none, "last_drift_checked_at": none})
-    return ev.reconcile(s, NOW).select(*ev.REPOSITORY, "last_cache_invalidated_at")
+    at = lambda n, t: F.when(F.col("repo").cast("long") % n == 0, F.lit(t)).cast("long")
+    s = s.withColumns({"last_cache_invalidated_at": at(3, 1_705_968_000), "last_authorization_rechecked_at": at(4, 1_706_400_000), "last_drift_checked_at": F.lit(None).cast("long")})
+    return ev.reconcile(s, NOW).select(*ev.REPOSITORY, *ev.RECONCILED)
 
 
 @query(
@@ -416,7 +428,7 @@ def repo_delete_impact(spark, d):
     records = docs.select(F.col("doc_id").alias("record_key"), *scope, F.lit("version").alias("record_kind"))
     terms = _chunks(spark, d).select(F.col("doc_id").alias("record_key"), "hash")
     gone = records.filter("owner in ('src1', 'src3')").select("provider", "owner", "repo").distinct()
-    return ev.deleted_repository(records, terms, gone, NOW, lambda h: [X.chunk_key(h), X.xorb_key(h)])["impact"].select("provider", "owner", "repo", "versions", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("holds", F.lit(0)).alias("holds"))
+    return ev.deleted_repository(records, terms, gone, NOW, lambda h: [X.chunk_key(h), X.xorb_key(h)])["impact"].select("provider", "owner", "repo", "versions", "chunks", "holds")
 
 
 @query(
@@ -540,11 +552,11 @@ def identifier_checks(spark, d):
     return _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("keys"), F.sum(F.when(X.valid_file_id(name), 0).otherwise(1)).alias("bad"))
 
 
-@query(f"WITH {CHUNKS}, want AS (SELECT DISTINCT hash FROM chunks WHERE doc_id % 10 = 0) SELECT DISTINCT source AS scope_key, hash FROM chunks WHERE hash IN (SELECT hash FROM want)")
+@query(f"WITH {CHUNKS} SELECT DISTINCT source AS scope_key, hash FROM chunks")
 def scope_references(spark, d):
     c = _chunks(spark, d)
     records = _t(spark, d, "documents").select(F.col("doc_id").alias("record_key"), F.col("source").alias("scope_key"))
-    return protocols.references(records, c.select(F.col("doc_id").alias("record_key"), "hash"), c.filter("doc_id % 10 = 0").select("hash").distinct())
+    return protocols.references(records, c.select(F.col("doc_id").alias("record_key"), "hash"), c.select("hash").distinct())
 
 
 # -- composite jobs
@@ -557,7 +569,7 @@ SELECT count(*) AS inserted_objects, CAST(sum(length) AS BIGINT) AS inserted_byt
 )
 def ingest_objects(spark, d):
     """Ingest of all files into a store that holds the chunks of every fourth."""
-    have = _chunks(spark, d).filter("doc_id % 4 = 0").groupBy("hash").agg(F.min("length").alias("length"))
+    have = chunking.chunk_content_with(_files(spark, d).filter("doc_id % 4 = 0"), "blake3", CHUNK).groupBy("hash").agg(F.min("length").alias("length"))
     objects = have.select(X.chunk_key(F.col("hash")).alias("key"), "length", F.col("hash").alias("checksum"))
     out = jobs.ingest(_files(spark, d).select("doc_id", "content"), objects, CHUNK, "doc_id")
     return out.objects.agg(F.count(F.lit(1)).alias("inserted_objects"), F.sum("length").alias("inserted_bytes"))

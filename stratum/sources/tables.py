@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,23 @@ def _key(root: str) -> Column:
     return F.expr(f"substr(path, instr(path, {base!r}) + {len(base)})")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder spark.checkpoint.dir; a folder of its own only where that is unset and Spark runs in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="scratch")
+    return f"{path.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A frame that several steps read, written once to the shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """key, length, modified of every file below a folder, on any Hadoop file system; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -108,7 +126,7 @@ def sorted_inventory(objects: DataFrame) -> DataFrame:
 
 def legacy_records(spark: SparkSession, root: str) -> DataFrame:
     """One JSON document per file, as rows of record_key and record."""
-    docs = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
+    docs = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     return docs.select(F.col("_metadata.file_path").alias("record_key"), F.col("value").alias("record"))
 
 
