@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import chunk_key, future, hold_active, valid_file_id, valid_hash, valid_scope_part, xorb_key
 from .plan import validate
+from ..sources import tables
 from .state import one_row
 
 MAX_RECORD_BYTES = 1 << 30
@@ -31,21 +32,28 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _found(df: DataFrame, location: str, *checks: tuple[str, Column, str | None]) -> DataFrame:
+    """One row for each of the checks (kind, condition, detail column) that a row fails; all are judged in one pass."""
+    rows = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(kind).alias("kind"), (F.col(detail) if detail else F.lit(None)).cast("string").alias("detail"))) for kind, bad, detail in checks]
+    return df.select(F.col(location).cast("string").alias("location"), F.explode(F.array_compact(F.array(*rows))).alias("_i")).select("_i.kind", "location", "_i.detail")
+
+
 def record_issues(records: DataFrame, computed: DataFrame | None = None) -> DataFrame:
     """Per record: size and JSON stop it; the other checks add up. computed: record_key, digest (the recomputed content hash)."""
     big = F.col("record_bytes") > MAX_RECORD_BYTES
-    readable = records.filter(~big & F.col("parsed"))
-    parts = [
-        _issue(records.filter(big), "oversized_record_metadata", "record_key"),
-        _issue(records.filter(~big & ~F.col("parsed")), "invalid_record_json", "record_key"),
-        _issue(readable.filter(~valid_file_id(F.col("file_id"))), "invalid_file_id", "record_key", "file_id"),
-        _issue(readable.filter(~valid_hash(F.col("content_hash"))), "invalid_content_hash", "record_key", "content_hash"),
-        _issue(readable.filter(F.col("record_key") != F.col("expected_key")), "record_path_mismatch", "record_key", "expected_key"),
-    ]
+    readable = ~big & F.col("parsed")
+    out = _found(
+        records,
+        "record_key",
+        ("oversized_record_metadata", big, None),
+        ("invalid_record_json", ~big & ~F.col("parsed"), None),
+        ("invalid_file_id", readable & ~valid_file_id(F.col("file_id")), "file_id"),
+        ("invalid_content_hash", readable & ~valid_hash(F.col("content_hash")), "content_hash"),
+        ("record_path_mismatch", readable & (F.col("record_key") != F.col("expected_key")), "expected_key"),
+    )
     if computed is not None:
-        differs = readable.join(computed, "record_key").filter("digest <> content_hash")
-        parts.append(_issue(differs, "record_hash_mismatch", "record_key", "digest"))
-    return _union(parts)
+        out = out.unionByName(_issue(records.filter(readable).join(computed, "record_key").filter("digest <> content_hash"), "record_hash_mismatch", "record_key", "digest"))
+    return out
 
 
 def plan_issues(records: DataFrame, terms: DataFrame) -> DataFrame:
@@ -57,26 +65,33 @@ def term_issues(terms: DataFrame, broken: DataFrame, objects: DataFrame, members
     referring row."""
     sound = terms.join(broken.select(F.col("location").alias("record_key")).distinct(), "record_key", "left_anti")
     have = objects.select(F.col("key").alias("_key"), F.col("length").alias("_length"), "body_hash")
-    chunks = sound.filter("chunked").withColumn("_key", chunk_key(F.col("hash"))).join(have.withColumn("_there", F.lit(True)), "_key", "left")
-    there = chunks.filter("_there")
-    xorbs = sound.filter("not chunked").withColumn("_key", xorb_key(F.col("hash"))).join(have.select("_key").withColumn("_there", F.lit(True)), "_key", "left")
+    there = F.col("_there").isNotNull()
+    have = have.withColumn("_there", F.lit(True))
+    chunks = sound.filter("chunked").withColumn("_key", chunk_key(F.col("hash"))).join(have, "_key", "left")
     own = members.select("xorb_hash", "idx", "chunk_hash", F.col("length").alias("member_length"))
-    inside = xorbs.filter("_there").select("record_key", "pos", F.col("hash").alias("xorb_hash"), "range_start", "range_end", "length").join(own, "xorb_hash").filter("idx >= range_start and idx < range_end")
-    inside = inside.withColumn("_key", chunk_key(F.col("chunk_hash"))).join(have.withColumn("_there", F.lit(True)), "_key", "left")
-    found = inside.filter("_there")
     counts = own.groupBy("xorb_hash").agg(F.count(F.lit(1)).alias("n"))
-    past = xorbs.filter("_there").withColumn("xorb_hash", F.col("hash")).join(counts, "xorb_hash", "left").filter("range_end > coalesce(n, 0)")
+    xorbs = sound.filter("not chunked").withColumn("_key", xorb_key(F.col("hash"))).join(have.select("_key", "_there"), "_key", "left")
+    sized = xorbs.withColumn("xorb_hash", F.col("hash")).join(counts, "xorb_hash", "left")
+    inside = xorbs.filter("_there").select("record_key", "pos", F.col("hash").alias("xorb_hash"), "range_start", "range_end", "length").join(own, "xorb_hash").filter("idx >= range_start and idx < range_end")
     sums = inside.groupBy("record_key", "pos", "xorb_hash", "length").agg(F.sum("member_length").alias("sum")).filter("sum <> length")
+    found = inside.withColumn("_key", chunk_key(F.col("chunk_hash"))).join(have, "_key", "left")
     return _union(
         [
-            _issue(chunks.filter("_there is null"), "missing_chunk", "record_key", "_key"),
-            _issue(there.filter("body_hash is not null and body_hash <> hash"), "chunk_hash_mismatch", "record_key", "_key"),
-            _issue(there.filter("_length <> length"), "chunk_length_mismatch", "record_key", "_key"),
-            _issue(xorbs.filter("_there is null"), "missing_chunk", "record_key", "_key"),
-            _issue(inside.filter("_there is null"), "missing_chunk", "record_key", "_key"),
-            _issue(found.filter("body_hash is not null and body_hash <> chunk_hash"), "chunk_hash_mismatch", "record_key", "_key"),
-            _issue(found.filter("_length <> member_length"), "chunk_length_mismatch", "record_key", "_key"),
-            _issue(past, "chunk_length_mismatch", "record_key", "_key"),
+            _found(
+                chunks,
+                "record_key",
+                ("missing_chunk", ~there, "_key"),
+                ("chunk_hash_mismatch", there & (F.col("body_hash") != F.col("hash")), "_key"),
+                ("chunk_length_mismatch", there & (F.col("_length") != F.col("length")), "_key"),
+            ),
+            _found(sized, "record_key", ("missing_chunk", ~there, "_key"), ("chunk_length_mismatch", there & (F.col("range_end") > F.coalesce("n", F.lit(0))), "_key")),
+            _found(
+                found,
+                "record_key",
+                ("missing_chunk", ~there, "_key"),
+                ("chunk_hash_mismatch", there & (F.col("body_hash") != F.col("chunk_hash")), "_key"),
+                ("chunk_length_mismatch", there & (F.col("_length") != F.col("member_length")), "_key"),
+            ),
             _issue(sums, "chunk_length_mismatch", "record_key", "xorb_hash"),
         ]
     )
@@ -115,20 +130,30 @@ def reconstruction_issues(reconstructions: DataFrame, stored: DataFrame) -> Data
 
 def lifecycle_issues(quarantine: DataFrame, holds: DataFrame, deliveries: DataFrame, states: DataFrame, objects: DataFrame, reachable: DataFrame, now: int) -> DataFrame:
     have = objects.select(F.col("key").alias("object_key"), F.col("length").alias("_l"))
-    seen = quarantine.join(have, "object_key", "left")
-    active = holds.filter(hold_active(F.col("release_after"), now))
+    mark = lambda df, name: df.select("object_key", F.lit(True).alias(name)).distinct()
+    live = mark(reachable.select(F.col("key").alias("object_key")), "_live")
+    seen = quarantine.join(have, "object_key", "left").join(live, "object_key", "left")
+    held = holds.withColumn("_active", hold_active(F.col("release_after"), now)).join(have, "object_key", "left").join(mark(quarantine, "_quarantined"), "object_key", "left")
     names = valid_scope_part(F.col("owner")) & valid_scope_part(F.col("repo"))
     where = F.concat_ws("/", "provider", "owner", "repo")
     times = states.select(where.alias("at"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("t")) for c in PROVIDER_TIMES])).alias("x"))
     return _union(
         [
-            _issue(quarantine.filter("delete_after < first_seen"), "invalid_quarantine_candidate", "object_key"),
-            _issue(seen.filter("_l is null"), "missing_quarantined_object", "object_key"),
-            _issue(seen.filter("_l <> observed_length"), "quarantine_length_mismatch", "object_key"),
-            _issue(quarantine.join(reachable.select(F.col("key").alias("object_key")), "object_key", "left_semi"), "reachable_quarantined_object", "object_key"),
-            _issue(holds.filter("release_after < held_at"), "invalid_retention_hold", "object_key"),
-            _issue(active.join(have, "object_key", "left_anti"), "missing_held_object", "object_key"),
-            _issue(active.join(quarantine, "object_key", "left_semi"), "held_quarantined_object", "object_key"),
+            _found(
+                seen,
+                "object_key",
+                ("invalid_quarantine_candidate", F.col("delete_after") < F.col("first_seen"), None),
+                ("missing_quarantined_object", F.col("_l").isNull(), None),
+                ("quarantine_length_mismatch", F.col("_l") != F.col("observed_length"), None),
+                ("reachable_quarantined_object", F.col("_live"), None),
+            ),
+            _found(
+                held,
+                "object_key",
+                ("invalid_retention_hold", F.col("release_after") < F.col("held_at"), None),
+                ("missing_held_object", F.col("_active") & F.col("_l").isNull(), None),
+                ("held_quarantined_object", F.col("_active") & F.col("_quarantined"), None),
+            ),
             _issue(deliveries.filter(future(F.col("processed_at"), now)), "invalid_webhook_delivery_timestamp", "delivery_id"),
             _issue(states.filter(~names).withColumn("at", where), "invalid_provider_repository_state", "at"),
             _issue(times.filter(future(F.col("x.t"), now)), "invalid_provider_repository_state_timestamp", "at", F.col("x.c")),
@@ -147,14 +172,14 @@ def fsck(records: DataFrame, terms: DataFrame, objects: DataFrame, members: Data
 
     A record's terms are checked against objects only if its plan is sound, and latest rows against versions only if they are readable.
     """
-    own = record_issues(records, computed)
+    own = tables.stored(record_issues(records, computed), "fsck-records")
     unsound = own.filter(F.col("kind").isin("oversized_record_metadata", "invalid_record_json"))
     readable = records.join(unsound.select(F.col("location").alias("record_key")), "record_key", "left_anti")
     own_terms = terms.join(readable.select("record_key"), "record_key", "left_semi")
-    plans = plan_issues(readable, own_terms)
+    plans = tables.stored(plan_issues(readable, own_terms), "fsck-plans")
     on = ["scope_key", "file_id", "content_hash"]
     drift = version_issues(readable.filter("record_kind = 'latest'"), readable.filter("record_kind = 'version'"), on, ["total_bytes"], "record_key")
-    found = _union(
+    everything = _union(
         [
             own,
             plans,
@@ -165,6 +190,7 @@ def fsck(records: DataFrame, terms: DataFrame, objects: DataFrame, members: Data
             lifecycle_issues(quarantine, holds, deliveries, states, objects, reachable, now),
         ]
     )
+    found = tables.stored(everything, "fsck-issues")
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     parts = [
         records.agg(*[F.coalesce(F.sum((F.col("record_kind") == k).cast("long")), F.lit(0)).alias(f"{k}_records") for k in ("latest", "version")]),
