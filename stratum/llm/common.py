@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a fresh local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a fresh local one only where that is unset and Spark is one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="checkpoint")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
