@@ -95,7 +95,10 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """At most ``rows`` ids of documents labelled good and not toxic, of the smallest by hash: the documented bound."""
+    """At most ``rows`` ids of documents labelled good and not toxic, of the smallest by hash: the documented bound.
+
+    An id with several label rows is trusted if one of them is good and not toxic. Of more ids than ``rows``, about 95% of that are taken.
+    """
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
     ids = good.select(F.col("doc_id").alias("_q_id")).distinct()
     return sampled(ids, "_q_id", rows).orderBy(F.xxhash64("_q_id"), "_q_id").limit(rows)
