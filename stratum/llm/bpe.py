@@ -55,6 +55,8 @@ class Encoder:
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.id_bytes = {i: i.to_bytes(4, "little") for i in self.text_of}
+        self.text_bytes = {i: t.encode("utf-8") for i, t in self.text_of.items()}
         self.rank: dict[tuple[int, int], int] = {}
         parts: dict[int, tuple[int, int, int]] = {}
         for r, (a, b) in enumerate(spec["model"]["merges"]):
@@ -116,16 +118,21 @@ class Encoder:
         """Ids of one pre-token in byte alphabet: the last token of each prefix, then back along the pointers."""
         n = len(symbols) + 1
         last: list[tuple[int, int] | None] = [None] * (n + 1)
-        fits = self.fits
+        known, width = self.compatible.get, self.width
         for end, match in self.automaton.iter(symbols + MARK):
             end += 1
             if last[end] is None:
                 start = end - match[1]
-                if start == 0:
-                    # A token alone is the encoding of its own text: unreachable() finds no other in this file.
-                    last[end] = match
-                elif last[start] is not None and fits(last[start][0], match[0]):
-                    last[end] = match
+                if start:
+                    before = last[start]
+                    if before is None:
+                        continue
+                    token = before[0]
+                    ok = known(token * width + match[0])
+                    if not (self.fits(token, match[0]) if ok is None else ok):
+                        continue
+                # A token alone is the encoding of its own text: unreachable() finds no other in this file.
+                last[end] = match
         ids, at = [], n
         while at:
             token, size = last[at]
@@ -134,8 +141,8 @@ class Encoder:
         return ids[::-1]
 
     def packed(self, pretokens: list[str]) -> tuple[bytes, bytes]:
-        ids = [i for p in pretokens for i in self.word(p)]
-        return b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids).encode("utf-8")
+        ids = self.word(pretokens[0]) if len(pretokens) == 1 else [i for p in pretokens for i in self.word(p)]
+        return b"".join(map(self.id_bytes.__getitem__, ids)), b" ".join(map(self.text_bytes.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """The tokenizer file names no decoder: tokens joined by spaces."""
@@ -144,7 +151,8 @@ class Encoder:
     def chunk(self, chunk: str) -> tuple[bytes, bytes]:
         found = self.old.get(chunk)
         if found is None:
-            found = self.packed([p.encode("utf-8").decode("latin-1").translate(self.table) for p in self.pieces.findall(chunk)])
+            # ASCII letters are one piece, and stand for themselves in the byte alphabet.
+            found = self.packed([chunk]) if chunk.isascii() and chunk.isalpha() else self.packed([p.encode("utf-8").decode("latin-1").translate(self.table) for p in self.pieces.findall(chunk)])
         if len(chunk) <= MEMO_WORD:
             if len(self.young) >= MEMO:
                 self.young, self.old = {}, self.young
