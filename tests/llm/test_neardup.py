@@ -84,3 +84,42 @@ def test_one_row_of_each_fingerprint_group(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, "only here twice"), (None, "only here twice"), (2, "one text of many words"), (2, "another one that differs")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(str, map(tuple, simhash.deduplicate(docs).collect()))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
+
+
+def test_group_of_several_tiles_and_components(spark, monkeypatch):
+    """A chain whose texts are like their neighbours only, two crowds that share keys but are not similar, and a bridge."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    monkeypatch.setattr(neardup, "FAN", 2)
+    rng = np.random.default_rng(5)
+    rows, w = [], [f"w{x}" for x in range(200)]
+    for at in range(60):  # 16 of 200 words differ from the text before: 184 of 212 shingles at least are shared
+        w[at * 16 % 192 : at * 16 % 192 + 16] = [f"c{at}-{i}" for i in range(16)]
+        rows.append((len(rows), " ".join(w)))
+    first = [f"a{x}" for x in range(300)]
+    second = first[:210] + [f"b{x}" for x in range(90)]
+    for base in (first, second):
+        for _ in range(50):
+            text = list(base)
+            text[int(rng.integers(300))] = f"n{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = survivors(rows)
+    assert want == [0, 60, 110]
+    assert sorted(r[0] for r in neardup.deduplicate(docs).select("doc_id").collect()) == want
+    bridge = first[:255] + second[255:]
+    rows += [(len(rows), " ".join(bridge))]
+    want = survivors(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r[0] for r in neardup.deduplicate(docs).select("doc_id").collect()) == want
+
+
+def test_crowd_of_near_copies_meets_one_tile(spark, monkeypatch):
+    """The work on near copies of one text is one comparison a tile, whatever their number."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    met, compared = [], neardup._compared
+    monkeypatch.setattr(neardup, "_compared", lambda work: met.append(work.count()) or compared(work))
+    base = [f"a{x}" for x in range(200)]
+    rows = [(i, " ".join(base[:100] + [f"n{i}"] + base[100:])) for i in range(400)]
+    got = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
+    assert [r[0] for r in got] == [0]
+    assert met[0] <= 51 and sum(met[1:]) == 0
