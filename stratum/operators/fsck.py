@@ -32,6 +32,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the store: sorted and merged, never sent to the driver. The planner's estimate, compressed
+    files and 20 bytes a string, is far below what a table of long keys and hashes takes in memory, and one check has many of them."""
+    return df.hint("merge")
+
+
 def _found(df: DataFrame, location: str, *checks: tuple[str, Column, str | None]) -> DataFrame:
     """One row for each of the checks (kind, condition, detail column) that a row fails; all are judged in one pass."""
     rows = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(kind).alias("kind"), (F.col(detail) if detail else F.lit(None)).cast("string").alias("detail"))) for kind, bad, detail in checks]
@@ -52,7 +58,7 @@ def record_issues(records: DataFrame, computed: DataFrame | None = None) -> Data
         ("record_path_mismatch", readable & (F.col("record_key") != F.col("expected_key")), "expected_key"),
     )
     if computed is not None:
-        out = out.unionByName(_issue(records.filter(readable).join(computed, "record_key").filter("digest <> content_hash"), "record_hash_mismatch", "record_key", "digest"))
+        out = out.unionByName(_issue(records.filter(readable).join(_large(computed), "record_key").filter("digest <> content_hash"), "record_hash_mismatch", "record_key", "digest"))
     return out
 
 
@@ -63,18 +69,18 @@ def plan_issues(records: DataFrame, terms: DataFrame) -> DataFrame:
 def term_issues(terms: DataFrame, broken: DataFrame, objects: DataFrame, members: DataFrame) -> DataFrame:
     """Chunk and container checks of records without a plan issue; a missing object hides its hash and length checks. One issue per
     referring row."""
-    sound = terms.join(broken.select(F.col("location").alias("record_key")).distinct(), "record_key", "left_anti")
+    sound = terms.join(_large(broken.select(F.col("location").alias("record_key")).distinct()), "record_key", "left_anti")
     have = objects.select(F.col("key").alias("_key"), F.col("length").alias("_length"), "body_hash")
     there = F.col("_there").isNotNull()
     have = have.withColumn("_there", F.lit(True))
-    chunks = sound.filter("chunked").withColumn("_key", chunk_key(F.col("hash"))).join(have, "_key", "left")
+    chunks = sound.filter("chunked").withColumn("_key", chunk_key(F.col("hash"))).join(_large(have), "_key", "left")
     own = members.select("xorb_hash", "idx", "chunk_hash", F.col("length").alias("member_length"))
     counts = own.groupBy("xorb_hash").agg(F.count(F.lit(1)).alias("n"))
-    xorbs = sound.filter("not chunked").withColumn("_key", xorb_key(F.col("hash"))).join(have.select("_key", "_there"), "_key", "left")
-    sized = xorbs.withColumn("xorb_hash", F.col("hash")).join(counts, "xorb_hash", "left")
-    inside = xorbs.filter("_there").select("record_key", "pos", F.col("hash").alias("xorb_hash"), "range_start", "range_end", "length").join(own, "xorb_hash").filter("idx >= range_start and idx < range_end")
+    xorbs = sound.filter("not chunked").withColumn("_key", xorb_key(F.col("hash"))).join(_large(have.select("_key", "_there")), "_key", "left")
+    sized = xorbs.withColumn("xorb_hash", F.col("hash")).join(_large(counts), "xorb_hash", "left")
+    inside = xorbs.filter("_there").select("record_key", "pos", F.col("hash").alias("xorb_hash"), "range_start", "range_end", "length").join(_large(own), "xorb_hash").filter("idx >= range_start and idx < range_end")
     sums = inside.groupBy("record_key", "pos", "xorb_hash", "length").agg(F.sum("member_length").alias("sum")).filter("sum <> length")
-    found = inside.withColumn("_key", chunk_key(F.col("chunk_hash"))).join(have, "_key", "left")
+    found = inside.withColumn("_key", chunk_key(F.col("chunk_hash"))).join(_large(have), "_key", "left")
     return _union(
         [
             _found(
@@ -101,22 +107,23 @@ def version_issues(latest: DataFrame, versions: DataFrame, on: list[str], values
     """Latest rows whose version is missing or differs."""
     v = versions.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], F.struct(*values).alias("_v"), F.lit(True).alias("_there"))
     match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)))
-    joined = latest.join(v, match, "left")
+    joined = latest.join(_large(v), match, "left")
     return _issue(joined.filter("_there is null"), "missing_version_record", location).unionByName(_issue(joined.filter(F.col("_there") & ~F.struct(*values).eqNullSafe(F.col("_v"))), "mismatched_version_record", location))
 
 
 def shard_issues(mappings: DataFrame, objects: DataFrame, members: DataFrame, unreadable: DataFrame) -> DataFrame:
     """unreadable: shard_key of shards that do not parse."""
-    there = mappings.join(objects.select(F.col("key").alias("shard_object_key")), "shard_object_key", "left_semi")
-    missing = mappings.join(objects.select(F.col("key").alias("shard_object_key")), "shard_object_key", "left_anti")
-    bad = unreadable.select(F.col("shard_key").alias("shard_object_key"))
+    have = _large(objects.select(F.col("key").alias("shard_object_key")))
+    there = mappings.join(have, "shard_object_key", "left_semi")
+    missing = mappings.join(have, "shard_object_key", "left_anti")
+    bad = _large(unreadable.select(F.col("shard_key").alias("shard_object_key")))
     readable = there.join(bad, "shard_object_key", "left_anti")
     held = members.select(F.col("shard_key").alias("shard_object_key"), "chunk_hash")
     return _union(
         [
             _issue(missing, "missing_dedupe_shard_object", "shard_object_key", "chunk_hash"),
             _issue(there.join(bad, "shard_object_key", "left_semi"), "invalid_retained_shard", "shard_object_key", "chunk_hash"),
-            _issue(readable.join(held, ["shard_object_key", "chunk_hash"], "left_anti"), "invalid_dedupe_shard_mapping", "shard_object_key", "chunk_hash"),
+            _issue(readable.join(_large(held), ["shard_object_key", "chunk_hash"], "left_anti"), "invalid_dedupe_shard_mapping", "shard_object_key", "chunk_hash"),
         ]
     )
 
@@ -125,12 +132,12 @@ def reconstruction_issues(reconstructions: DataFrame, stored: DataFrame) -> Data
     """reconstructions: file_id, terms (array of struct with object_hash); stored: object_hash. One issue per unregistered term."""
     empty = reconstructions.filter("terms is null or size(terms) = 0")
     terms = reconstructions.select("file_id", F.explode("terms").alias("t")).select("file_id", F.col("t.object_hash").alias("object_hash"))
-    return _issue(empty, "empty_reconstruction", "file_id").unionByName(_issue(terms.join(stored.select("object_hash").distinct(), "object_hash", "left_anti"), "missing_reconstruction_xorb", "file_id", "object_hash"))
+    return _issue(empty, "empty_reconstruction", "file_id").unionByName(_issue(terms.join(_large(stored.select("object_hash").distinct()), "object_hash", "left_anti"), "missing_reconstruction_xorb", "file_id", "object_hash"))
 
 
 def lifecycle_issues(quarantine: DataFrame, holds: DataFrame, deliveries: DataFrame, states: DataFrame, objects: DataFrame, reachable: DataFrame, now: int) -> DataFrame:
-    have = objects.select(F.col("key").alias("object_key"), F.col("length").alias("_l"))
-    mark = lambda df, name: df.select("object_key", F.lit(True).alias(name)).distinct()
+    have = _large(objects.select(F.col("key").alias("object_key"), F.col("length").alias("_l")))
+    mark = lambda df, name: _large(df.select("object_key", F.lit(True).alias(name)).distinct())
     live = mark(reachable.select(F.col("key").alias("object_key")), "_live")
     seen = quarantine.join(have, "object_key", "left").join(live, "object_key", "left")
     held = holds.withColumn("_active", hold_active(F.col("release_after"), now)).join(have, "object_key", "left").join(mark(quarantine, "_quarantined"), "object_key", "left")
@@ -174,8 +181,8 @@ def fsck(records: DataFrame, terms: DataFrame, objects: DataFrame, members: Data
     """
     own = tables.stored(record_issues(records, computed), "fsck-records")
     unsound = own.filter(F.col("kind").isin("oversized_record_metadata", "invalid_record_json"))
-    readable = records.join(unsound.select(F.col("location").alias("record_key")), "record_key", "left_anti")
-    own_terms = terms.join(readable.select("record_key"), "record_key", "left_semi")
+    readable = records.join(_large(unsound.select(F.col("location").alias("record_key"))), "record_key", "left_anti")
+    own_terms = terms.join(_large(readable.select("record_key")), "record_key", "left_semi")
     plans = tables.stored(plan_issues(readable, own_terms), "fsck-plans")
     on = ["scope_key", "file_id", "content_hash"]
     drift = version_issues(readable.filter("record_kind = 'latest'"), readable.filter("record_kind = 'version'"), on, ["total_bytes"], "record_key")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import expr as X
 from stratum.operators import chunking, fsck, gc, inventory, plan, protocols, reach, rebuild, repair, state
+from stratum.plans import job_queries
 from stratum.sources import tables
 from stratum.streaming import events as ev
 
@@ -452,3 +453,13 @@ def test_impact_of_a_repository_without_terms(spark):
     records = frame(spark, [("k", "p", "o", "r", "version")], "record_key string, provider string, owner string, repo string, record_kind string")
     out = ev.deleted_repository(records, spark.createDataFrame([], "record_key string, hash string"), records, 5, lambda h: [h, h])
     assert tuple(out["impact"].select("versions", "chunks", "holds").first()) == (1, 0, 0)
+
+
+def test_fsck_never_broadcasts_what_grows(spark, monkeypatch):
+    """However small the planner takes a side to be: at 60 times sf0.1 the objects, taken for a few MB, filled the driver."""
+    plans, stored = [], fsck.tables.stored
+    monkeypatch.setattr(fsck.tables, "stored", lambda df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or stored(df, name))
+    job_queries.fsck_issues(spark, "/root/testdata/sf0.001").collect()
+    assert len(plans) == 3 and "SortMergeJoin" in plans[2]
+    broadcast = [line for line in plans[2].splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in broadcast if "BroadcastHashJoin [record_key" not in line]  # the inputs' own join
