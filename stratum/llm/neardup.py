@@ -1,13 +1,14 @@
-"""Near copies by the five-word shingles that two texts share: candidates by minhash, links by exact Jaccard similarity.
-
-Texts that are equal up to case and spacing are one node. A node has BANDS keys of ROWS minima each; nodes that share a
-key are candidates (a pair of similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8). Connected
-candidates are a group, dealt into tiles that are compared exactly: two nodes are linked if their sets of shingles have
-a Jaccard similarity of SIMILAR or more, so links that no key showed are found as well where other candidates connect them.
-A tile meets itself and the first tile of its group. Where that has not made one component of the group, it is dealt anew by
-component, and every pair of tiles meets that could still join two. So the work on a group of near copies of one text
-grows with its size; only the tiles of a group that stays in many parts meet in pairs. What is compared emits a spanning
-forest of its links, and components are found as for the fingerprints.
+"""Near copies by the five-word shingles that two texts share: candidates by SimHash and minhash, links by exact Jaccard similarity.
+
+Texts that are equal up to case and spacing are one node. A node has the SimHash fingerprint of its distinct shingles; nodes whose
+fingerprints differ in RADIUS bits or fewer are candidates, all found by the tiled comparison of simhash.py. Texts of a similarity of
+0.8 differ in more bits than that, so a node also has BANDS keys of ROWS minima each; nodes that share a key are candidates
+too (a pair of similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8). Connected candidates are a group,
+dealt into tiles that are compared exactly: two nodes are linked if their sets of shingles have a Jaccard similarity of SIMILAR or
+more, so links that neither showed are found as well where other candidates connect them. A tile meets itself and the first tile
+of its group. Where that has not made one component of the group, it is dealt anew by component, and every pair of tiles meets
+that could still join two. So the work on a group of near copies of one text grows with its size; only the tiles of a group that
+stays in many parts meet in pairs. What is compared emits a spanning forest of its links, and components are found as for op 2.
 
 Defined results: words are split and lowered as for the fingerprints; a text of fewer words than a shingle is one shingle; null and
 blank texts are copies of each other and of nothing else; an empty table gives no rows. Nodes and rows are known by 64-bit hashes.
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, keep_rows, map_texts, materialize, row_hash, ship, split_words
-from .simhash import components
+from .simhash import components, folded, links
 
 SHINGLE = 5
 SIMILAR = (4, 5)
+#: Bits in which the fingerprints of candidates differ at most.
+RADIUS = 3
 BANDS, ROWS = 20, 5
 SEED = 42
 TILE = 512
@@ -96,34 +99,62 @@ def linked(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def fingerprint(grams: np.ndarray) -> int | None:
+    """SimHash of the distinct shingles; none without shingles."""
+    return folded(grams.view(np.uint8).reshape(-1, 8)) if len(grams) else None
+
+
 def _marked(docs: DataFrame, text: str, id: str) -> DataFrame:
-    """doc_id, digest, node and keys of every row."""
+    """doc_id, digest, node, fingerprint and keys of every row."""
 
     def make():
         import xxhash
 
-        from stratum.llm.neardup import keys, lowered, shingles
+        from stratum.llm.neardup import fingerprint, keys, lowered, shingles
 
         def mark(texts):
-            nodes, found = [], []
+            nodes, prints, found = [], [], []
             for t in texts:
                 w = lowered(t)
+                grams = shingles(w)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(w), SEED) - (1 << 63))
-                found.append(np.array(keys(shingles(w)), dtype=np.int64))
-            return [nodes, found]
+                prints.append(fingerprint(grams))
+                found.append(np.array(keys(grams), dtype=np.int64))
+            return [nodes, prints, found]
 
         return mark
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_n_text"), row_hash(docs).alias("digest"))
-    return map_texts(rows, "_n_text", [("node", T.LongType(), pa.int64()), ("keys", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], make, budget=1 << 20).drop("_n_text")
+    fields = [("node", T.LongType(), pa.int64()), ("fp", T.LongType(), pa.int64()), ("keys", T.ArrayType(T.LongType()), pa.list_(pa.int64()))]
+    return map_texts(rows, "_n_text", fields, make, budget=1 << 20).drop("_n_text")
 
 
-def _links(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
-    """Edges (a, b) whose closure joins the nodes of similar texts. classes: node, first (with a digest), keys."""
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """Candidates (a, b) whose closure joins the nodes of fingerprints within RADIUS bits."""
+    printed = materialize(classes.filter("fp is not null").select("node", "fp"), "neardup-prints")
+    least = materialize(printed.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")), "neardup-fps")
+    same = printed.join(least.filter("least < most"), "fp").filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    left, right = (least.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(f"node_{x}")) for x in "ab")
+    near = links(least.select("fp"), RADIUS).toDF("fp_a", "fp_b").join(left, "fp_a").join(right, "fp_b")
+    return same.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
+def _by_keys(classes: DataFrame) -> DataFrame:
+    """Candidates (a, b) whose closure joins the nodes that share a key: one a node and few more, however many keys they share.
+
+    A node is joined to the least of the least nodes of its keys, and those others (fewer than BANDS) to that one.
+    """
     keyed = materialize(classes.select("node", F.explode("keys").alias("key")), "neardup-keys")
     least = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least")
-    stars = keyed.join(least, "key").filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    groups = components(materialize(stars, "neardup-stars"))
+    stars = keyed.join(least, "key").filter("node > least").groupBy("node").agg(F.collect_set("least").alias("all"))
+    stars = materialize(stars.select(F.array_min("all").alias("a"), F.col("node").alias("b"), "all"), "neardup-least")
+    discard(keyed)
+    return stars.select("a", "b").unionByName(stars.select("a", F.explode("all").alias("b")).filter("a < b")).distinct()
+
+
+def _links(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
+    """Edges (a, b) whose closure joins the nodes of similar texts. classes: node, first (with a digest), fp, keys."""
+    groups = components(materialize(_by_fingerprint(classes).unionByName(_by_keys(classes)), "neardup-stars"))
     asked = classes.join(groups, "node").select("node", "label", F.col("first.digest").alias("digest"))
     found = docs.select(F.col(text).alias("_n_text"), row_hash(docs).alias("digest")).join(asked, "digest").dropDuplicates(["digest"])
 
@@ -137,7 +168,7 @@ def _links(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
     crowded = sets.groupBy("label").agg(_parts().alias("parts")).filter("parts > 1").select("label")
     if crowded.limit(1).count():
         out = materialize(out.unionByName(_other_links(sets, crowded, components(out))), "neardup-links")
-    discard(keyed, sets)
+    discard(sets)
     return out
 
 
@@ -204,7 +235,7 @@ def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
     """One row of each component stays, columns as in docs: the first by id (null last), text and the hash of the whole row."""
     marked = materialize(_marked(docs, text, id), "neardup-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "digest")).alias("first")
-    classes = materialize(marked.groupBy("node").agg(first, F.first("keys").alias("keys")), "neardup-classes")
+    classes = materialize(marked.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys")), "neardup-classes")
     labels = components(_links(docs, classes, text)).withColumnRenamed("node", "at")
     joined = classes.join(labels, F.col("node") == F.col("at"), "left").select("first", F.coalesce("label", "node").alias("label"))
     return keep_rows(docs, joined.groupBy("label").agg(F.min("first").alias("first")).select("first.digest"))

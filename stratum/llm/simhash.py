@@ -43,7 +43,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     w = b" ".join(w).lower().split(b" ")
     grams = [b" ".join(g) for g in zip(*(w[i:] for i in range(shingle)))] if len(w) >= shingle else [b" ".join(w)]
-    digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), dtype=np.uint8).reshape(-1, 8)
+    return folded(np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), dtype=np.uint8).reshape(-1, 8))
+
+
+def folded(digests: np.ndarray) -> int:
+    """Signed 64-bit SimHash of digests of eight bytes each."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(digests), 1 << 15):  # bounded memory for very long texts
         ones += np.unpackbits(digests[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)

@@ -123,3 +123,34 @@ def test_crowd_of_near_copies_meets_one_tile(spark, monkeypatch):
     got = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
     assert [r[0] for r in got] == [0]
     assert met[0] <= 51 and sum(met[1:]) == 0
+
+
+def test_fingerprints_find_candidates(spark, monkeypatch):
+    """Texts that share no key are compared if their fingerprints are near or equal: here no node has any key."""
+    base = [f"a{x}" for x in range(3000)]
+    rows = [(i, " ".join([*base[:1000], f"n{i}", *base[1000:]])) for i in range(40)] + [(100 + i, " ".join(f"o{i}-{x}" for x in range(300))) for i in range(20)]
+    far = [bin(a ^ b).count("1") for a, b in zip(*([neardup.fingerprint(neardup.shingles(neardup.lowered(t))) & (1 << 64) - 1 for _, t in part] for part in (rows[:39], rows[1:40])))]
+    assert max(far) > 0 and sorted(far)[20] <= neardup.RADIUS
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = neardup._marked
+    monkeypatch.setattr(neardup, "_marked", lambda *a: marked(*a).withColumn("keys", F.array().cast("array<bigint>")))
+    assert sorted(r[0] for r in neardup.deduplicate(docs).select("doc_id").collect()) == survivors(rows) == [0, *range(100, 120)]
+
+
+def test_candidates_of_keys_are_near_a_forest(spark):
+    """Nodes that share all of their keys, or each key with others, have about one edge each, of the same closure."""
+    rng = np.random.default_rng(7)
+    nodes = [int(x) for x in rng.integers(0, 1 << 60, 600)]
+    keys_of = [[int(b * 1000 + (i // 300) * 100 + rng.integers(4)) for b in range(20)] for i in range(600)]
+    got = neardup._by_keys(spark.createDataFrame(list(zip(nodes, keys_of)), "node long, keys array<long>")).collect()
+    assert len(got) <= 700
+    label = {x: x for x in nodes}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in got:
+        label[find(a)] = find(b)
+    assert len({find(x) for x in nodes[:300]}) == len({find(x) for x in nodes[300:]}) == 1 and len({find(x) for x in nodes}) == 2
