@@ -34,7 +34,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = hpylm.split(table(spark, sf_dir, "documents"))
-    return hpylm.score(docs, hpylm.train(docs))
+    return hpylm.score(docs, hpylm.train(docs, pooled=False))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

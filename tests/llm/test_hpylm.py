@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from stratum.llm import hpylm
+from stratum.llm.queries import op6_lm_scores
 
 from .conftest import document_rows
 
@@ -218,3 +219,53 @@ def test_held_out_perplexity(spark):
     print(r, other)
     assert r[True]["perplexity"] < 0.7 * r[True]["base_perplexity"]
     assert r[True]["perplexity"] < 0.97 * other
+
+
+@pytest.mark.parametrize("bucket_bytes", [4000, 1 << 30])
+def test_every_context_has_its_own_restaurant(spark, docs, tmp_path, monkeypatch, bucket_bytes):
+    """The query scores alike, whether 20 contexts or all are broadcast, and rare contexts do not share what they have seen."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(hpylm, "BUCKET_BYTES", bucket_bytes)
+    run = lambda: sorted(map(tuple, op6_lm_scores(spark, str(tmp_path)).collect()), key=lambda r: (str(r[:5]), r[5], r[6]))
+    every = run()
+    monkeypatch.setattr(hpylm.frequent, "__defaults__", (20,))
+    some = run()
+    assert len(every) == docs.count()
+    for a, b in zip(every, some, strict=True):
+        assert a[:6] == b[:6] and a[6] == pytest.approx(b[6], rel=1e-9)
+    monkeypatch.setattr(hpylm.frequent, "__defaults__", (0,))
+    for a, b in zip(every, run(), strict=True):
+        assert a[:6] == b[:6] and a[6] == pytest.approx(b[6], rel=1e-9)
+
+
+def test_totals_of_rare_contexts_are_those_of_all_buckets(docs, monkeypatch):
+    """Customers and tables of each context, from the blocks, against the texts and the state."""
+    monkeypatch.setattr(hpylm, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(hpylm.frequent, "__defaults__", (5,))
+    model = hpylm.train(hpylm.split(docs), pooled=False)
+    pairs = Counter()
+    for ws, h in folds(document_rows()):
+        if not h:
+            pairs.update((hpylm.END_ID if u is END else hpylm.word_id(u), hpylm.END_ID if w is END else hpylm.word_id(w)) for u, w in zip([END, *ws], ws))
+    assert len(model.known) == 5 and len({u for u, _ in pairs}) > 100 and model.blocks > 1
+    assert model.samples[-1].customers.sum() == sum(n for (u, _), n in pairs.items() if u in set(model.known.tolist()))
+    size, once, several, tables, told = len(model.known) + hpylm.GROUPS, Counter(), defaultdict(set), Counter(), {}
+    rows = model.state.collect()
+    for row in rows:
+        s = hpylm._read_state({k: v for k, v in row.asDict().items() if k not in ("kept", "seats")})
+        for x, r, c, t in zip(s["x"], s["r"], s["c"], s["t"]):
+            u = int(s["rare"][r - size] if r >= size else model.known[r])
+            assert pairs[u, int(s["w"][x])] == c > 1 and 1 <= t <= c
+            if r >= size:
+                several[u].add(row["bucket"])
+                tables[u] += t
+        told[row["bucket"]] = s
+    once.update(u for (u, _), n in pairs.items() if n == 1)
+    apart = 0
+    for bucket, s in told.items():
+        for u, fixed, a in zip(s["rare"].tolist(), s["fixed"], s["apart"]):
+            assert fixed == once[u] and a == (len(several[u]) > 1)
+            apart += a
+    assert apart > 20
+    rare_once = sum(n for u, n in once.items() if u not in set(model.known.tolist()))
+    assert model.samples[-1].parent_customers == model.samples[-1].tables.sum() + sum(tables.values()) + rare_once
