@@ -32,6 +32,7 @@ they appear; an empty table gives no rows; without training tokens every known c
 
 from __future__ import annotations
 
+import gc
 import math
 import struct
 from collections.abc import Iterator
@@ -564,6 +565,12 @@ def _rare_tables(s: dict, size: int, told: list[dict] | None, blocks: int, first
     return tables + s["fixed"]
 
 
+def _release(spark) -> None:
+    """Lets Spark remove the files of shuffles that no table needs any more: it does so when the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 class Model:
     """known: ids of restaurants that are broadcast; state: the buckets; samples: the kept totals; counts of the hot words; blocks: of rare contexts."""
 
@@ -680,6 +687,7 @@ def train(docs: DataFrame, pooled: bool = True) -> Model:
     hot_counts = {r["w"]: r["c"] for r in vocabulary.join(asked, "w").collect()}
     hot_counts = np.array([hot_counts.get(int(w), 0) for w in hot], dtype=np.int64)
     discard(vocabulary)
+    _release(spark)
     lists = spark.sparkContext.broadcast((known, hot))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -733,6 +741,7 @@ def train(docs: DataFrame, pooled: bool = True) -> Model:
         after = materialize((state.join(told, "bucket", "left") if told is not None else state).mapInArrow(reseat, _STATE_SCHEMA), "lm-state")
         discard(state, *([told] if told is not None else []))
         state = after
+        _release(spark)
         tables, hot_customers, facts = _totals(state, len(customers), len(hot))
         last = round_ + 1 == BURN_IN + SAMPLES
         told = exchange(state.select("bucket", "r", "t", "rare", "apart").mapInArrow(ask_again, _ASK)) if facts["e"] and not last else None
